@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import line_dedup, sharding
+from seamline.llm import line_dedup, sharding, simhash
 from seamline.llm.common import table
 
 
@@ -20,7 +20,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_maglev_sharding, op5_line_dedup)}
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_maglev_sharding, op5_line_dedup, op7_simhash_components)}
 
 ORACLES = {
     "op2_maglev_sharding": sharding.ORACLE,
