@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import line_dedup, sharding, simhash
+from seamline.llm import langid, line_dedup, sharding, simhash
 from seamline.llm.common import table
 
 
@@ -24,7 +24,12 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_maglev_sharding, op5_line_dedup, op7_simhash_components)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return langid.identify(docs).select("doc_id", F.col("lang").alias("declared"), "language", "confidence", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op2_maglev_sharding, op5_line_dedup, op7_simhash_components, op10_language_id)}
 
 ORACLES = {
     "op2_maglev_sharding": sharding.ORACLE,
