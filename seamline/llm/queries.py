@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import langid, line_dedup, sharding, simhash
+from seamline.llm import html_text, langid, line_dedup, quality, sharding, simhash
 from seamline.llm.common import table
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.assign_shards(docs, ["doc_id"]).select("doc_id", "slot", "shard_index", "shard")
 
 
+def op3_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -29,7 +40,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", F.col("lang").alias("declared"), "language", "confidence", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op2_maglev_sharding, op5_line_dedup, op7_simhash_components, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_main_text,
+        op2_maglev_sharding,
+        op3_line_crf_quality,
+        op5_line_dedup,
+        op7_simhash_components,
+        op10_language_id,
+    )
+}
 
 ORACLES = {
     "op2_maglev_sharding": sharding.ORACLE,
