@@ -136,14 +136,19 @@ class Model:
         return 1 / (1 + np.exp(-(self.curve[0] * self.quality([line_features(t or b"") for t in texts]) + self.curve[1])))
 
 
-def logistic(q: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[float, float]:
-    """The slope (never below zero) and shift of the likeliest logistic curve, by Newton's method."""
+def logistic(q: np.ndarray, y: np.ndarray, penalty: float = 1e-4) -> tuple[float, float]:
+    """The slope (never below zero) and shift of the likeliest logistic curve, by Newton's method.
+
+    Both labels weigh the same in all, so that the curve doesn't lean to the more frequent one.
+    """
     x = np.stack([q, np.ones(len(q))], axis=1)
+    ones = y.mean()
+    weight = np.where(y > 0, 0.5 / max(ones, 1e-9), 0.5 / max(1 - ones, 1e-9))
     theta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ theta)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(q) + penalty * np.eye(2)
-        theta = theta + np.linalg.solve(h, x.T @ (y - p) / len(q) - penalty * theta)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x / len(q) + penalty * np.eye(2)
+        theta = theta + np.linalg.solve(h, x.T @ (weight * (y - p)) / len(q) - penalty * theta)
     return max(0.0, float(theta[0])), float(theta[1])
 
 
