@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import html_text, langid, line_dedup, quality, sharding, simhash
+from seamline.llm import html_text, langid, line_dedup, packing, quality, sharding, simhash
 from seamline.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -46,6 +50,7 @@ QUERIES = {
         op1_html_main_text,
         op2_maglev_sharding,
         op3_line_crf_quality,
+        op4_dp_packing,
         op5_line_dedup,
         op7_simhash_components,
         op10_language_id,
