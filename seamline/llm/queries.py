@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import html_text, langid, line_dedup, packing, quality, sharding, simhash
+from seamline.llm import audio, html_text, langid, line_dedup, mixing, packing, quality, sharding, simhash
 from seamline.llm.common import table
 
 
@@ -35,10 +35,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False)
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return langid.identify(docs).select("doc_id", F.col("lang").alias("declared"), "language", "confidence", "accepted")
@@ -52,7 +60,9 @@ QUERIES = {
         op3_line_crf_quality,
         op4_dp_packing,
         op5_line_dedup,
+        op6_audio_columns,
         op7_simhash_components,
+        op9_source_mixing,
         op10_language_id,
     )
 }
