@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import audio, html_text, langid, line_dedup, mixing, packing, quality, sharding, simhash
+from seamline.llm import audio, html_text, langid, line_dedup, mixing, order_minhash, packing, quality, sharding, simhash
 from seamline.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -62,6 +66,7 @@ QUERIES = {
         op5_line_dedup,
         op6_audio_columns,
         op7_simhash_components,
+        op8_order_minhash,
         op9_source_mixing,
         op10_language_id,
     )
