@@ -10,7 +10,9 @@ program takes constant time a cut.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -40,28 +42,83 @@ BLOCK = 1 << 19
 REMEMBERED = 400_000
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level models write bytes: printable ones as themselves, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTES = _byte_characters()
+#: Contractions, runs of letters, single digits and runs of anything else: the split of the tokenizer's own description.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased ASCII words, and what goes through all of the tokenizer: code points from
+#: U+0250 on (none below composes with its neighbours), U+0130 (its lower case is two) and marks of special tokens.
+_ASCII_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+_ODD = re.compile("[\u0130\u0250-\U0010ffff]|<[|]").search
+
+
 class Words(dict):
-    """UTF-8 words without white space to their token ids.
+    """UTF-8 words without white space to their token ids, as little-endian bytes.
 
     White space separates tokens whatever stands around it, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn. A new word is split as the tokenizer
+    would, and only pieces that are new too go through its merges; words with
+    rarer characters or marks of special tokens go through all of it.
     """
 
     def __init__(self, tokenizer: str):
         import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
+        self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.plain = self._is_plain()
+        self.split = regex.compile(_SPLIT).findall
+        self.pieces: dict[bytes, bytes] = {}
+
+    def _is_plain(self) -> bool:
+        """Whether the tokenizer is of the form that the short way stands for."""
+        t = json.loads(self.tokenizer.to_str())
+        norm = [n.get("type") for n in (t["normalizer"] or {}).get("normalizers", [])]
+        pre = (t["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            norm == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in pre] == ["Split", "ByteLevel"]
+            and pre[0]["pattern"] == {"Regex": _SPLIT}
+            and not pre[1]["add_prefix_space"]
+            and not pre[1]["use_regex"]
+        )
+
+    def _merged(self, piece: bytes) -> bytes:
+        written = piece.decode() if piece.isalnum() else piece.decode("latin-1").translate(_BYTES)
+        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(written)])
+        if len(self.pieces) >= REMEMBERED:
+            self.pieces.clear()
+        self.pieces[piece] = ids
+        return ids
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+    def __missing__(self, word: bytes) -> bytes:
+        parts = None
+        if self.plain and word.isascii():
+            if b"<|" not in word:
+                parts = _ASCII_SPLIT(word.lower())
+        elif self.plain and not _ODD(said := word.decode("utf-8", "replace")):
+            parts = [p.encode() for p in self.split(said.lower())]
+        if parts is None:
+            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            known = self.pieces
+            ids = b"".join([known.get(p) or self._merged(p) for p in parts])
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = ids
         return ids
 
     def ids(self, text: bytes, end: int = END) -> np.ndarray:
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, text.split())), (end,)), np.uint32)
+        return np.frombuffer(b"".join(chain(map(self.__getitem__, text.split()), (end.to_bytes(4, "little"),))), "<u4")
 
     def sentence_ends(self) -> np.ndarray:
         """Whether each id stands for marks that end a sentence and a word."""
