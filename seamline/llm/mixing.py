@@ -28,9 +28,10 @@ MOST = 2
 #: Words in a block; slots in an output shard; rows of a source that are ordered together.
 BLOCK = 128
 SHARD_SLOTS = 4096
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 4000
 #: Slots that one row stands for until they are dealt to tasks.
 _RUN = 2048
+TASK_SLOTS = 64 * _RUN
 ROUNDS = 12
 SEED = 20
 
@@ -112,11 +113,13 @@ def slots(q: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed
     """A row for each slot of the mix: (_rank, _block, _round, _take, _shard, _place).
 
     _take: the words that the slot takes from the start of its block. Runs of
-    slots are dealt to tasks before they become rows, so that a large source
-    is no single task's.
+    slots are dealt to tasks before they become rows, so that a large source is
+    no single task's; the number of tasks follows from that of the slots, as
+    the few bytes of the runs say nothing of it.
     """
+    total = q.agg(F.coalesce(F.max("_all"), F.lit(0))).first()[0]
     runs = q.where(F.col("_slots") > 0).select("_rank", "_size", "_blocks", "_slots", "_trim", "_first", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, F.lit(_RUN).cast("long"))).alias("_from"))
-    dealt = runs.repartition("_rank", "_from")
+    dealt = runs.repartition(max(1, -(-total // TASK_SLOTS)), "_rank", "_from")
     one = dealt.select("*", F.explode(F.sequence("_from", F.least(F.col("_from") + _RUN, F.col("_slots")) - 1)).alias("_j"))
     turn = F.floor(F.col("_j") / F.col("_blocks")).cast("long")
     got = one.withColumn("_round", turn).withColumns(
@@ -161,7 +164,8 @@ def _placed(docs: DataFrame, text: str, doc_id: str, source: str) -> tuple[DataF
 def _taken(placed: DataFrame, q: DataFrame, block: int = BLOCK) -> DataFrame:
     """placed documents once for each slot that takes words of them: _word (first of them), _n, _round, _shard, _place."""
     pieces = placed.where(F.col("_size") > 0).withColumn("_block", F.explode(F.sequence(F.floor(F.col("_at") / block).cast("long"), F.floor((F.col("_at") + F.col("_size") - 1) / block).cast("long"))))
-    joined = pieces.join(slots(q, block), ["_rank", "_block"])
+    # Both sides grow with the corpus, though what they are made from is small: never broadcast.
+    joined = pieces.join(slots(q, block).hint("merge"), ["_rank", "_block"])
     begin = F.col("_block") * block
     low = F.greatest(F.col("_at"), begin)
     n = F.least(F.col("_at") + F.col("_size"), begin + F.col("_take")) - low
