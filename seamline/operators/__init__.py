@@ -1 +1 @@
-"""Subpackage; see the README for what lives here."""
+"""Operators over DataFrames: corpus, sampling, sequences, matching, evaluation, aggregates and models."""
