@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seamline.llm.common import text_rows
+
 #: Samples a second in the stored media and for the features.
 RATE = 16000
 TARGET_RATE = 8000
@@ -221,4 +223,4 @@ def audio_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
     src = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("_text"))
     kinds = [T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.BinaryType(), T.BinaryType(), _SPANS]
-    return src.mapInArrow(run, T.StructType([src.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=False)]]))
+    return text_rows(src).mapInArrow(run, T.StructType([src.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=False)]]))

@@ -46,15 +46,53 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of texts that go to Python at once, at most.
+TEXT_ROWS = 500
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    """df, for a function in Python: from now on its session sends TEXT_ROWS rows at once, or fewer if it did before.
+
+    Texts may be long, and the default of 10,000 rows has no bound in bytes that fits a worker.
+    """
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key, "10000"))
+    if not 0 < now <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """c with A-Z lower-cased and every other character kept."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
-def put(df: DataFrame, **cols: Column) -> DataFrame:
-    """df with these columns appended; a column of the same name (any case) is replaced."""
-    taken = {c.lower() for c in cols}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in cols.items()])
+class Apart:
+    """A table's columns under names that an operator's own (with a leading _) can't clash with.
+
+    `df` has the columns; at() gives the name that one has there, and back()
+    the table with its own names, in its order, followed by new columns. A
+    column that has the name of a new one (in any case) is replaced.
+    """
+
+    def __init__(self, table: DataFrame):
+        self.names = table.columns
+        self.df = table.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def at(self, name: str) -> str:
+        return f"c{self.names.index(name)}"
+
+    def back(self, out: DataFrame, **new: Column) -> DataFrame:
+        taken = {n.lower() for n in new}
+        kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
+        return out.select(*kept, *[c.alias(n) for n, c in new.items()])
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df as a side to broadcast if it is computed and counted and has at most so many rows, else as it is."""
+    done = checkpointed(df)
+    return F.broadcast(done) if done.count() <= rows else done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

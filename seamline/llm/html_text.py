@@ -18,8 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seamline.llm.common import Apart, text_rows
+
 #: Lines in a window, and the sums at which a window surges: in an element that is
 #: declared to be the article, and elsewhere.
 WINDOW = 3
@@ -34,7 +37,7 @@ LINKS = 0.6
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _AWAY = frozenset("head nav header footer aside form script style template noscript textarea select button option datalist dialog menu iframe object svg canvas audio video map title xmp noembed noframes".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr script style template noscript button select td th".split())
 _SPACE = frozenset("br td th img wbr".split())
 _DECLARED = frozenset("article main".split())
 _P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -85,7 +88,8 @@ def lines_of(page: str) -> list[Line]:
     """A page's blocks of text in order, with an empty line wherever blocks end."""
     out: list[Line] = []
     open_: list[tuple[str, bool, bool]] = []  # name, away, declared
-    away = declared = links = 0
+    # muted: elements that aren't the article but stand within a block, and leave it whole.
+    away = declared = links = muted = 0
     text: list[str] = []
     linked: list[str] = []
 
@@ -97,12 +101,14 @@ def lines_of(page: str) -> list[Line]:
         linked.clear()
 
     def close(to: int) -> None:
-        nonlocal away, declared, links
+        nonlocal away, declared, links, muted
         while len(open_) > to:
             name, a, d = open_.pop()
             if name not in _INLINE:
                 flush()
-            away -= a
+                away -= a
+            else:
+                muted -= a
             declared -= d
             links -= name == "a"
 
@@ -110,7 +116,7 @@ def lines_of(page: str) -> list[Line]:
     while at < n:
         m = _TOKEN.search(page, at)
         said = page[at : m.start() if m else n]
-        if said:
+        if said and not muted:
             text.append(said)
             if links > 0:
                 linked.append(said)
@@ -158,7 +164,10 @@ def lines_of(page: str) -> list[Line]:
         a = a or name in _AWAY and not (name == "header" and declared)
         d = d or name in _DECLARED
         open_.append((name, a, d))
-        away += a
+        if name in _INLINE:
+            muted += a
+        else:
+            away += a
         declared += d
         links += name == "a"
     close(0)
@@ -212,13 +221,14 @@ def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
     White space inside a block is one space, blocks are joined by one \\n.
     Repeated rows get equal texts; columns of the two names are replaced.
     """
-    kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    a = Apart(pages)
+    names = a.df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(p.decode("utf-8", "replace") if p is not None else None) for p in b.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
+            texts = [main_text(p.decode("utf-8", "replace") if p is not None else None) for p in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "_text", "_chars"])
 
-    src = pages.select(*[pages[f"`{c}`"] for c in kept], pages[f"`{markup}`"].cast("binary").alias("_bytes"))
-    fields = [f for f in pages.schema.fields if f.name in kept]
-    return src.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    src = a.df.select(*names, F.col(a.at(markup)).cast("binary").alias("_bytes"))
+    made = text_rows(src).mapInArrow(run, T.StructType([*a.df.schema.fields, T.StructField("_text", T.StringType()), T.StructField("_chars", T.LongType())]))
+    return a.back(made, text=F.col("_text"), n_chars=F.col("_chars"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamline.llm.common import put
+from seamline.llm.common import Apart, small, text_rows
 
 #: The trigram models are fitted on about so many documents, chosen by a hash of the id.
 FIT_DOCUMENTS = 4000
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, text: str, declared: str, key: str, documents: int = FI
 
     counts = np.zeros((_GRAMS, len(languages)))
     if languages:
-        for r in sample.select("_lang", "_text").mapInArrow(count, "_lang string, _gram int, _n long").groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n")).collect():
+        for r in text_rows(sample.select("_lang", "_text")).mapInArrow(count, "_lang string, _gram int, _n long").groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n")).collect():
             counts[r["_gram"], languages.index(r["_lang"])] = r["_n"]
     smoothed = counts + 0.5
     return Model(languages, np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32))
@@ -135,7 +135,7 @@ def with_likelihoods(docs: DataFrame, text: str, model: Model) -> DataFrame:
 
     src = docs.withColumn("_bytes", docs[f"`{text}`"].cast("binary"))
     schema = T.StructType([*docs.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_grams", T.LongType())])
-    return src.mapInArrow(run, schema)
+    return text_rows(src).mapInArrow(run, schema)
 
 
 def _softmax(scores: Sequence[Column]) -> list[Column]:
@@ -184,13 +184,16 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", addres
     language is null and nothing is accepted. Repeated rows get equal values;
     columns of the three names are replaced.
     """
-    model = model or fit(docs, text, declared, key)
+    a = Apart(docs)
+    text, declared, address, key = a.at(text), a.at(declared), a.at(address), a.at(key)
+    model = model or fit(a.df, text, declared, key)
     langs, k = model.languages, len(model.languages)
     if not k:
-        return put(docs, language=F.lit(None).cast("string"), confidence=F.lit(None).cast("double"), accepted=F.lit(False))
-    host = host_of(docs[f"`{address}`"])
-    scored = with_likelihoods(docs.withColumns({"_host": host, "_tag": primary(docs[f"`{declared}`"])}), text, model).withColumn("_suffix", suffix_of(F.col("_host")))
-    priors = host_priors(scored.select("_host", "_suffix", "_ll", "_grams"), langs)
+        return a.back(a.df, language=F.lit(None).cast("string"), confidence=F.lit(None).cast("double"), accepted=F.lit(False))
+    host = host_of(F.col(address))
+    scored = with_likelihoods(a.df.withColumns({"_host": host, "_tag": primary(F.col(declared))}), text, model).withColumn("_suffix", suffix_of(F.col("_host")))
+    # Few hosts are broadcast, and texts stay where they are; many are joined by host.
+    priors = small(host_priors(scored.select("_host", "_suffix", "_ll", "_grams"), langs))
     stands = F.create_map(*[F.lit(x) for pair in sorted(COUNTRY_LANGUAGE.items()) for x in pair])[F.col("_suffix")]
     wrong = lambda right: math.log((1 - right) / max(1, k - 1)) if k > 1 else 0.0
 
@@ -207,6 +210,4 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", addres
     told = joined.withColumns({"_confidence": 1.0 / total, "_best": best})
     accepted = (F.col("_grams") > 0) & (F.element_at("_ll", F.col("_best")) > even * F.col("_grams")) & (F.col("_confidence") >= min_confidence)
     names = F.array(*[F.lit(x) for x in langs])
-    out = told.select(*[F.col(f"`{c}`") for c in docs.columns], F.element_at(names, F.col("_best")).alias("_language"), F.col("_confidence"), accepted.alias("_accepted"))
-    done = put(out, language=F.col("_language"), confidence=F.col("_confidence"), accepted=F.col("_accepted"))
-    return done.drop("_language", "_confidence", "_accepted")
+    return a.back(told, language=F.element_at(names, F.col("_best")), confidence=F.col("_confidence"), accepted=accepted)

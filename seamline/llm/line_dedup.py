@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ASCII_SPACE, ascii_lower, put, remove, scratch
+from seamline.llm.common import ASCII_SPACE, Apart, ascii_lower, remove, scratch
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -134,8 +134,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     Repeated rows stay rows. Columns named n_lines or n_dropped are replaced.
     """
     spark = docs.sparkSession
+    a = Apart(docs)
+    text, doc_id = a.at(text), a.at(doc_id)
     at = scratch(spark, "lines")
-    hashed_lines(docs, text, doc_id, min_length).withColumn("_batch", F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(batches)).cast("int")).write.parquet(at)
+    batch = F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(batches)).cast("int")
+    hashed_lines(a.df, text, doc_id, min_length).withColumn("_batch", batch).write.parquet(at)
     lines = spark.read.parquet(at)
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
@@ -143,19 +146,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     repeated = runs.merged().where(F.col("_n") >= min_documents)
     gone = lines.join(repeated, _HASH).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     # The places that stay, as an array of their own: membership is tested once per document, not once per line.
-    stay = gone.groupBy("_id", "_th").agg(
+    stay = gone.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(
         F.array_except(F.sequence(F.lit(0), F.max("_lines") - 1), F.collect_set("_pos")).alias("_stay")
     )
-    whole = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    parts = docs.withColumns({"_th": F.xxhash64(whole), "_parts": F.split(whole, "\n", -1), "_id": docs[f"`{doc_id}`"]})
-    cond = parts["_id"].eqNullSafe(stay["_id"]) & (parts["_th"] == stay["_th"])
-    joined = parts.join(stay.withColumnsRenamed({}), cond, "left").drop(stay["_id"]).drop(stay["_th"])
-    kept = F.when(F.col("_stay").isNull(), F.array_join("_parts", "\n")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get(F.col("_parts"), i)), "\n"))
-    n = F.size("_parts").cast("long")
-    dropped = F.when(F.col("_stay").isNull(), F.lit(0)).otherwise(F.size("_parts") - F.size("_stay")).cast("long")
-    out = joined.withColumns({"_kept": kept, "_n": n, "_d": dropped})
-    shown = [F.col("_kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return out.select(*shown, F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped"))
+    whole = F.coalesce(text, F.lit(""))
+    parts = a.df.withColumns({"_th": F.xxhash64(whole), "_parts": F.split(whole, "\n", -1)})
+    joined = parts.join(stay, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
+    left = F.array_join(F.transform("_stay", lambda i: F.get(F.col("_parts"), i)), "\n")
+    kept = F.when(F.col("_stay").isNull(), whole).otherwise(left)
+    dropped = F.when(F.col("_stay").isNull(), F.lit(0)).otherwise(F.size("_parts") - F.size("_stay"))
+    out = joined.withColumns({"_n": F.size("_parts").cast("long"), "_d": dropped.cast("long"), text: kept})
+    return a.back(out, n_lines=F.col("_n"), n_dropped=F.col("_d"))
 
 
 ORACLE = f"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.llm.common import checkpointed
+from seamline.llm.common import Apart, checkpointed, text_rows
 
 #: Weights by a source's place in code point order, repeating; the mix's size and the
 #: most that is taken of a source, in units of what there is.
@@ -229,13 +229,15 @@ def mix_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     A document that is taken twice has its words twice. Other columns stay as
     they are, but an n_chars column is counted anew.
     """
-    placed, q = _placed(docs, text, doc_id, source)
+    a = Apart(docs)
+    text, doc_id, source = a.at(text), a.at(doc_id), a.at(source)
+    placed, q = _placed(a.df, text, doc_id, source)
     pieces = _taken(checkpointed(placed), q).groupBy("_id", "_th", "_source", "_copy").agg(F.collect_list(F.struct("_round", "_word", "_n")).alias("_pieces"))
-    whole = docs.withColumns({"_k": docs[f"`{doc_id}`"], "_h": F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit("")))})
-    whole = whole.withColumn("_s", docs[f"`{source}`"]).withColumn("_o", F.row_number().over(Window.partitionBy("_k", "_h", "_s").orderBy("_k")))
-    cond = whole["_k"].eqNullSafe(pieces["_id"]) & (whole["_h"] == pieces["_th"]) & whole["_s"].eqNullSafe(pieces["_source"]) & (whole["_o"] == pieces["_copy"])
-    names = docs.columns
-    joined = whole.join(pieces, cond).select(*[whole[f"`{c}`"] for c in names], F.col(f"`{text}`").cast("binary").alias("_bytes"), F.col("_pieces"))
+    whole = a.df.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    whole = whole.withColumn("_o", F.row_number().over(Window.partitionBy(doc_id, "_h", source).orderBy(doc_id)))
+    cond = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_o") == F.col("_copy"))
+    names = a.df.columns
+    joined = whole.join(pieces, cond).select(*names, F.col(text).cast("binary").alias("_bytes"), "_pieces")
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,5 +247,7 @@ def mix_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
             cols[place] = pa.array(made, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = joined.mapInArrow(run, docs.schema)
-    return out.select(*[F.length(F.col(f"`{text}`")).cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`") for c in names])
+    out = text_rows(joined).mapInArrow(run, a.df.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn(a.at("n_chars"), F.length(text).cast(docs.schema["n_chars"].dataType))
+    return a.back(out)

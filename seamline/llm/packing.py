@@ -14,6 +14,7 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from itertools import chain
@@ -24,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from seamline.llm.common import text_rows
+
 #: Production parameters.
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -37,9 +40,9 @@ REACH = 256
 #: Besides full windows, those of these lengths need no padding either.
 EXEMPT = (2048, 1024)
 #: The program runs over so many tokens at a time; all windows but the last are then settled.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Words whose tokens are remembered in a task.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -151,12 +154,13 @@ def cuts(lengths: np.ndarray, sentence: np.ndarray, reach: int = REACH) -> tuple
     return at[1:], kind[at[1:]]
 
 
-def plan(places: np.ndarray, penalties: np.ndarray, capacity: int = CAPACITY) -> list[int]:
+def plan(places: np.ndarray, penalties: np.ndarray, capacity: int = CAPACITY, last: bool | None = None) -> list[int]:
     """The ends of the windows that cost least, for cuts no further apart than capacity.
 
     A window costs WINDOW_COST, its padding to capacity (none at a length in
-    EXEMPT), and the penalty of the cut at its end. Of equal plans, that whose
-    last windows are longest.
+    EXEMPT), and the penalty of the cut at its end. If the stream ends here
+    (last is True), its last window costs what tail() makes of it; if it goes
+    on (False), that window is planned again and costs nothing.
     """
     s = [0, *places.tolist()]
     pen = [0, *penalties.tolist()]
@@ -176,6 +180,8 @@ def plan(places: np.ndarray, penalties: np.ndarray, capacity: int = CAPACITY) ->
             k = where.get(here - x)
             if k is not None and cost[k] < best:
                 best, i = cost[k], k
+        if last is not None and j == n - 1:
+            best, i = min((cost[k] + (tail_cost(here - s[k], capacity) if last else 0), k) for k in range(bisect_left(s, low), j))
         best += WINDOW_COST + pen[j]
         cost[j], back[j] = best, i
         where[here] = j
@@ -196,6 +202,11 @@ def tail(length: int, capacity: int = CAPACITY) -> list[int]:
     return parts if len(parts) > 1 and len(parts) * INNER_CUT < capacity - length else [length]
 
 
+def tail_cost(length: int, capacity: int = CAPACITY) -> int:
+    parts = tail(length, capacity)
+    return len(parts) * INNER_CUT if len(parts) > 1 else capacity - length if length & (length - 1) else 0
+
+
 class Packer:
     """Packs documents given in order; add() and close() return pieces.
 
@@ -218,7 +229,7 @@ class Packer:
     def _settle(self, last: bool) -> list[tuple]:
         stream = np.concatenate([d[3] for d in self.docs])
         lengths = np.array([len(d[3]) for d in self.docs])
-        ends = plan(*cuts(lengths, np.nonzero(self.ends[stream])[0] + 1, min(REACH, self.capacity)), self.capacity)
+        ends = plan(*cuts(lengths, np.nonzero(self.ends[stream])[0] + 1, min(REACH, self.capacity)), self.capacity, last)
         if last:
             before = ends[-2] if len(ends) > 1 else 0
             ends[-1:] = (before + np.cumsum(tail(ends[-1] - before, self.capacity))).tolist()
@@ -289,4 +300,4 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer:
     fields = [T.StructField("doc_id", src.schema["_id"].dataType), *[T.StructField(c, T.LongType()) for c in names[1:7]]]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return src.mapInArrow(run, T.StructType(fields))
+    return text_rows(src).mapInArrow(run, T.StructType(fields))

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seamline.llm.common import Apart, text_rows
+
 #: The model is fitted on about so many labelled documents, chosen by a hash of the id,
 #: of at most so many lines each. Scoring has no such bounds.
 FIT_DOCUMENTS = 2400
@@ -207,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             keep = pa.array(short, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("_id").filter(keep), b.column("_y").filter(keep), pa.array([zlib.crc32(t) for t, s in zip(texts, short, strict=True) if s], pa.int64()), *both], names=["_id", "_y", "_crc", "_x", "_s"])
 
-    got = sample.mapInArrow(features, sample.select("_id", "_y").schema.add("_crc", "long").add("_x", "binary").add("_s", "binary")).collect()
+    got = text_rows(sample).mapInArrow(features, sample.select("_id", "_y").schema.add("_crc", "long").add("_x", "binary").add("_s", "binary")).collect()
     got.sort(key=lambda r: (r["_id"], r["_crc"]))
     read = lambda r: (np.frombuffer(r["_x"], np.float32).reshape(-1, WIDTH).astype(np.float64), np.frombuffer(r["_s"], np.int64), r["_y"])
     return train([read(r) for r in got])
@@ -220,21 +222,25 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     that the model gives one. Equal texts get equal scores but for rounding.
     Columns of the two names are replaced.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    a = Apart(docs)
+    return _scored(a, a.df, model, text)
+
+
+def _scored(a: Apart, df: DataFrame, model: Model, text: str, **more: Column) -> DataFrame:
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(len(kept)).to_pylist()
+            texts = b.column(len(names)).to_pylist()
             s = np.round(np.concatenate([model.scores(texts[i : i + 256]) for i in range(0, max(1, len(texts)), 256)]), 9)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*names, "_score"])
 
-    src = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text}`"].cast("binary").alias("_bytes"))
-    fields = [f for f in docs.schema.fields if f.name in kept]
-    return src.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    src = df.select(*names, F.col(a.at(text)).cast("binary").alias("_bytes"))
+    scored = text_rows(src).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return a.back(scored, score=F.col("_score"), predicted=(F.col("_score") >= THRESHOLD).cast("int"), **more)
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """docs with `held_out`, `score` and `predicted` appended; see fit() and score()."""
-    scored = score(docs, fit(docs, labels, text, doc_id, label), text)
-    kept = [c for c in scored.columns if c.lower() != "held_out"]
-    return scored.select(*[F.col(f"`{c}`") for c in kept], (fold(F.col(f"`{doc_id}`")) == 0).alias("held_out"))
+    """docs with `score`, `predicted` and `held_out` appended; see fit() and score()."""
+    a = Apart(docs)
+    return _scored(a, a.df, fit(docs, labels, text, doc_id, label), text, held_out=fold(F.col(a.at(doc_id))) == 0)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.common import put
+from seamline.llm.common import Apart
 
 #: Production parameters: 16 shards, about 127 slots for each.
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
@@ -83,11 +83,12 @@ def assign_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str] = SH
     Null keys are placed like any other value. Repeated rows keep their count.
     Columns of the same names are replaced. No rows: no rows.
     """
+    a = Apart(df)
     slots = lookup_frame(df.sparkSession, shards, size)
-    placed = df.withColumn("_slot", slot_of([df[f"`{k}`"] for k in keys], size))
+    placed = a.df.withColumn("_slot", slot_of([F.col(a.at(k)) for k in keys], size))
+    # `size` rows.
     joined = placed.join(F.broadcast(slots), "_slot", "inner")
-    out = put(joined, slot=F.col("_slot"), shard_index=F.col("_index"), shard=F.col("_shard"))
-    return out.drop("_slot", "_index", "_shard")
+    return a.back(joined, slot=F.col("_slot"), shard_index=F.col("_index"), shard=F.col("_shard"))
 
 
 def write_shards(df: DataFrame, path: str, keys: Sequence[str], shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE, files: int = 1, mode: str = "errorifexists") -> None:

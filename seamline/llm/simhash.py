@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamline.llm.common import checkpointed, put
+from seamline.llm.common import Apart, checkpointed, text_rows
 from seamline.llm.components import connected_components
 
 SEED = 42
@@ -34,6 +34,9 @@ STAGE_SIMILARITY = 0.8
 STAGE_WORDS = 3
 STAGE_BLOCK_BITS = 32
 
+#: Points whose cells one task makes.
+TASK_POINTS = 50_000
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -89,7 +92,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = WIDTH, carry:
 
     src = docs.select(*[docs[f"`{c}`"] for c in carry], docs[f"`{text}`"].cast("binary").alias("_text"))
     schema = src.drop("_text").schema.add("_fp", "long")
-    return src.mapInArrow(run, schema)
+    return text_rows(src).mapInArrow(run, schema)
 
 
 def _counts(value: Column, bits: int, segments: int) -> list[Column]:
@@ -126,7 +129,10 @@ def close_pairs(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits
     """
     if max_bits > 2:
         raise ValueError("unit cells reach a Manhattan distance of 2")
-    put_in = cells(points.select("_node", "_block", "_value"), bits, segments)
+    points = checkpointed(points.select("_node", "_block", "_value"))
+    # A point is a few bytes but becomes some dozens of rows: tasks are dealt by the number of points.
+    dealt = points.repartition(max(1, -(-points.count() // TASK_POINTS)), "_block", "_node")
+    put_in = cells(dealt, bits, segments)
     left = put_in.select("_block", "_cell", F.col("_node").alias("_a"), F.col("_value").alias("_x"), F.col("_move").alias("_m"))
     right = put_in.select("_block", "_cell", F.col("_node").alias("_b"), F.col("_value").alias("_y"), F.col("_move").alias("_k"))
     # Two points of one cell share all the cells around it; they need to meet in their own only.
@@ -180,7 +186,7 @@ def set_fingerprints(docs: DataFrame, width: int, words: int) -> DataFrame:
             )
 
     src = docs.select("_id", F.col("_text").cast("binary").alias("_text"))
-    return src.mapInArrow(run, src.select("_id").schema.add("_set", "long").add("_size", "long").add("_words", T.ArrayType(T.LongType())))
+    return text_rows(src).mapInArrow(run, src.select("_id").schema.add("_set", "long").add("_size", "long").add("_words", T.ArrayType(T.LongType())))
 
 
 def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -196,7 +202,7 @@ def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("_a"), b.column("_b")], names=["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
     src = pairs.select("_a", "_b", F.col("_left").cast("binary").alias("_left"), F.col("_right").cast("binary").alias("_right"))
-    return src.mapInArrow(run, src.select("_a", "_b").schema)
+    return text_rows(src).mapInArrow(run, src.select("_a", "_b").schema)
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY, words: int = STAGE_WORDS, segments: int = SEGMENTS) -> DataFrame:
@@ -212,7 +218,8 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     that repeat an id are alike kept or dropped as that id is; rows with a
     null id stay. Every column stays as it is.
     """
-    named = docs.select(docs[f"`{doc_id}`"].alias("_id"), docs[f"`{text}`"].alias("_text"))
+    a = Apart(docs)
+    named = a.df.select(F.col(a.at(doc_id)).alias("_id"), F.col(a.at(text)).alias("_text"))
     prints = checkpointed(set_fingerprints(named.where(F.col("_id").isNotNull()), width, words))
     classes = prints.groupBy("_set", "_size").agg(F.min("_id").alias("_node"), F.min_by("_words", "_id").alias("_words"))
     classes = checkpointed(classes)
@@ -228,6 +235,6 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     away = linked.where(F.col("node") != F.col("component")).select(F.col("node").alias("_node"))
     # A document goes if it is not its class's representative, or its class hangs on another.
     stay = classes.select("_node").join(away, "_node", "left_anti")
-    named_docs = docs.withColumn("_node", docs[f"`{doc_id}`"])
-    kept = named_docs.where(F.col("_node").isNotNull()).join(stay, "_node", "left_semi").drop("_node")
-    return kept.unionByName(named_docs.where(F.col("_node").isNull()).drop("_node"))
+    rows = a.df.withColumn("_node", F.col(a.at(doc_id)))
+    kept = rows.where(F.col("_node").isNotNull()).join(stay, "_node", "left_semi").select(a.df.columns)
+    return a.back(kept.unionByName(rows.where(F.col("_node").isNull()).select(a.df.columns)))
