@@ -39,9 +39,13 @@ def tokenless(word: Column) -> Column:
     return word.rlike(f"^{SPACE}*$")
 
 
+def _count(c: Column, kind: str) -> Column:
+    """How many characters are of a kind (a class without its brackets): what is left without the runs of others."""
+    return F.length(F.regexp_replace(c, f"[^{kind}]+", ""))
+
+
 def _share(c: Column, part: str) -> Column:
-    letters = F.regexp_count(c, F.lit(LETTER))
-    return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(part)).cast("double"), letters.cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(_count(c, part).cast("double"), _count(c, LETTER[1:-1]).cast("double")), F.lit(0.0))
 
 
 def sinhala_ratio(c: Column) -> Column:
@@ -51,7 +55,7 @@ def sinhala_ratio(c: Column) -> Column:
 
 def latin_ratio(c: Column) -> Column:
     """The share of letters that are A-Z or a-z; 0 without letters."""
-    return _share(c, LATIN)
+    return _share(c, LATIN[1:-1])
 
 
 def numeric_tokens(c: Column) -> Column:

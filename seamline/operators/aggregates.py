@@ -80,7 +80,7 @@ def pass_rates(calls: DataFrame, rejections: DataFrame, key: str = "generator")
 
 def rejection_matrix(rejections: DataFrame, kinds: Sequence[str], key: str = "generator") -> DataFrame:
     """Errors by kind (what stands before the colon) and generator."""
-    kinded = rejections.select(key, F.substring_index(F.explode("errors"), ":", 1).alias("kind"))
+    kinded = rejections.select(key, F.explode("errors").alias("_e")).select(key, F.substring_index("_e", ":", 1).alias("kind"))
     return kinded.groupBy("kind").pivot(key, list(kinds)).agg(F.count(F.lit(1))).fillna(0)
 
 

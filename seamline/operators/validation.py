@@ -55,24 +55,25 @@ def validate(rows: DataFrame, text: str = "text", sentence_target: str = "target
     cfg = cfg or Config()
     v = cfg.validate
     t = F.col(text)
-    judged = rows.withColumn("_sentences", sentences(cfg.segment)(t)).withColumn("_original", F.col(original) if original else F.lit(None).cast("string"))
-    judged = judged.withColumn("_copy", copy_errors(v.max_copy)(t, F.col("_original")))
-    share = tx.sinhala_ratio(t) if script is None else script
-    n, words = F.size("_sentences"), tx.word_count(t)
+    # Counts over the text are columns of their own, so that each is computed once.
+    counted = rows.withColumns({"_share": tx.sinhala_ratio(t) if script is None else script, "_latin": tx.latin_ratio(t), "_words": tx.word_count(t)})
+    judged = counted.withColumn("_sentences", sentences(cfg.segment)(t)).withColumn("_original", F.col(original) if original else F.lit(None).cast("string"))
+    judged = judged.withColumn("_copy", copy_errors(v.max_copy)(t, F.col("_original")) if original else F.lit(None).cast("string"))
+    share, latin, n, words = F.col("_share"), F.col("_latin"), F.size("_sentences"), F.col("_words")
     found = F.array(
         count_error(n, F.col(sentence_target), v.sentence_tolerance),
         length_error(words, F.col(word_target), v.length_tolerance),
         pattern_error("preamble", t, v.preamble),
         pattern_error("markdown", t, v.markdown),
-        script_error(share, tx.latin_ratio(t), v.min_script_ratio, v.max_latin_ratio),
+        script_error(share, latin, v.min_script_ratio, v.max_latin_ratio),
         F.col("_copy"),
         numbers_error(t, F.col("_original")) if numbers else F.lit(None).cast("string"),
     )
     blank = t.isNull() | (tx.strip(F.coalesce(t, F.lit(""))) == "")
     errors = F.when(blank, F.array(F.lit("empty: model returned no text"))).otherwise(F.filter(found, lambda e: e.isNotNull()))
-    details = F.struct(n.alias("n_sentences"), words.alias("n_words"), F.bround(share, 3).alias("sinhala_ratio"), F.bround(tx.latin_ratio(t), 3).alias("latin_ratio"))
+    details = F.struct(n.alias("n_sentences"), words.alias("n_words"), F.bround(share, 3).alias("sinhala_ratio"), F.bround(latin, 3).alias("latin_ratio"))
     out = judged.withColumns({"errors": errors, "details": F.when(~blank, details)}).withColumn("passed", F.size("errors") == 0)
-    return out.drop("_sentences", "_original", "_copy")
+    return out.drop("_sentences", "_original", "_copy", "_share", "_latin", "_words")
 
 
 def integrity_errors(records: DataFrame, splits: DataFrame, cfg: Config | None = None) -> DataFrame:
