@@ -1,6 +1,6 @@
 import pytest
 
-from seamline.plans import catalog
+from seamline.plans import catalog, catalog_more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
