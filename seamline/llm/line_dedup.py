@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ASCII_SPACE, Apart, ascii_lower, remove, scratch
+from seamline.llm.common import ASCII_SPACE, Apart, ascii_lower, checkpointed, remove, scratch
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -143,12 +143,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("_batch") == b))
-    repeated = runs.merged().where(F.col("_n") >= min_documents)
+    # As a table of its own, the side of a join whose other side may be skewed can be dealt anew.
+    repeated = checkpointed(runs.merged().where(F.col("_n") >= min_documents))
+    remove(spark, runs.path)
     gone = lines.join(repeated, _HASH).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     # The places that stay, as an array of their own: membership is tested once per document, not once per line.
     stay = gone.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(
         F.array_except(F.sequence(F.lit(0), F.max("_lines") - 1), F.collect_set("_pos")).alias("_stay")
     )
+    stay = checkpointed(stay)
+    remove(spark, at)
     whole = F.coalesce(text, F.lit(""))
     parts = a.df.withColumns({"_th": F.xxhash64(whole), "_parts": F.split(whole, "\n", -1)})
     joined = parts.join(stay, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
