@@ -76,6 +76,17 @@ def word_ngrams(c: Column, n: int = 8) -> Column:
     )[0]
 
 
+def word_ngram_hashes(c: Column, n: int = 8) -> Column:
+    """The set of 64-bit hashes of a text's runs of n lower-cased words."""
+    return F.transform(
+        F.array(words(F.lower(F.coalesce(c, F.lit(""))))),
+        lambda w: F.when(
+            F.size(w) >= n,
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))),
+        ).otherwise(F.array().cast("array<bigint>")),
+    )[0]
+
+
 # Characters that carry no text, and quotes by their plain form.
 INVISIBLE = "​‌⁠﻿­"
 CURLY, STRAIGHT = "‘’‚‛“”„‟", "''''\"\"\"\""

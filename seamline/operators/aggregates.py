@@ -202,3 +202,19 @@ def observed(rows: DataFrame, name: str, **counts: Column):
 
     o = Observation(name)
     return rows.observe(o, *[v.alias(k) for k, v in counts.items()]), o
+
+
+def word_class_weights(docs: DataFrame, text: str = "text", boundary: str = "boundary") -> DataFrame:
+    """One row: n / (2 n_c) for labels 0 and 1 over the words that have a token."""
+    from seamline.functions import sequences as sq
+    from seamline.functions.text import task_words, tokenless
+
+    w = task_words(F.col(text))
+    labels = F.zip_with(w, sq.labels_from_boundary(F.size(w), F.col(boundary)), lambda x, y: F.when(~tokenless(x), y))
+    return class_weights(docs.select(F.filter(labels, lambda y: y.isNotNull()).alias("labels")))
+
+
+def metric_values(rows: DataFrame, payload: str, paths: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., metric, value) of nested keys (a.b.c) in JSON payloads; a missing key is null."""
+    items = F.array(*[F.struct(F.lit(k).alias("metric"), F.get_json_object(payload, "$." + p).cast("double").alias("value")) for k, p in paths.items()])
+    return rows.select(*keep, F.explode(items).alias("_x")).select(*keep, "_x.*")

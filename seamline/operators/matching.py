@@ -103,12 +103,16 @@ def unrelated_twins(docs: DataFrame, pool: DataFrame, seed: int = 0) -> DataFram
 def leaked(docs: DataFrame, reference: DataFrame, key: str, text: str = "text", reference_text: str = "text", n: int = 8) -> DataFrame:
     """The distinct keys of documents that share a run of n words with any reference text.
 
-    Runs are joined by hash and compared as strings, so hashes only save bytes.
-    The reference's runs may be many: which join is used is left to their size.
+    Runs are first met by their hashes, a long each; only documents that meet
+    one are compared by the words themselves. Which joins are used is left to
+    the sizes of the sides.
     """
-    grams = lambda df, c: df.select(*([key] if df is docs else []), F.explode(tx.word_ngrams(F.col(c), n)).alias("_gram")).withColumn("_h", F.xxhash64("_gram"))
-    known = grams(reference, reference_text).distinct()
-    return grams(docs, text).join(known, ["_h", "_gram"], "left_semi").select(key).distinct()
+    met = docs.select(key, F.explode(tx.word_ngram_hashes(F.col(text), n)).alias("_h"))
+    known = reference.select(F.explode(tx.word_ngram_hashes(F.col(reference_text), n)).alias("_h")).distinct()
+    maybe = docs.join(met.join(known, "_h", "left_semi").select(key).distinct(), key, "left_semi")
+    grams = maybe.select(key, F.explode(tx.word_ngrams(F.col(text), n)).alias("_gram"))
+    words = reference.select(F.explode(tx.word_ngrams(F.col(reference_text), n)).alias("_gram")).distinct()
+    return grams.join(words, "_gram", "left_semi").select(key).distinct()
 
 
 def drop_leaked(docs: DataFrame, reference: DataFrame, key: str, text: str = "text", reference_text: str = "text", n: int = 8) -> DataFrame:

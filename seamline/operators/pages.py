@@ -106,3 +106,8 @@ def top_prefixes(raw: DataFrame, title: str, n: int = 15) -> DataFrame:
     """The n most frequent name spaces (what stands before a title's first colon)."""
     space = F.regexp_extract(F.col(title), r"^([^:]{1,30}):", 1)
     return raw.where(space != "").groupBy(space.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "prefix").limit(n)
+
+
+def file_counts(raw: DataFrame) -> DataFrame:
+    """(file, n): the rows of each file that a scan reads."""
+    return raw.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))

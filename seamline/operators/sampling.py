@@ -228,3 +228,13 @@ def assemble(planned: DataFrame, new: str = "generated") -> DataFrame:
     )
 
 
+
+
+def comparison_grid(planned: DataFrame, generators: list[str], column: str = "generator") -> DataFrame:
+    """Each plan once for each generator, so that all write the same spans of the same windows."""
+    return planned.withColumn(column, F.explode(F.array(*[F.lit(g) for g in generators])))
+
+
+def human_counterpart(planned: DataFrame, output: str = "human") -> DataFrame:
+    """planned with the human text that its spans displace."""
+    return planned.withColumn(output, F.array_join(F.flatten("targets"), " "))

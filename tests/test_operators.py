@@ -343,3 +343,16 @@ def test_statistics(spark):
     assert {r["bin"]: r["n"] for r in o.collect()} == {**dict.fromkeys(range(10), 0), 0: 1, 9: 2} and ag.first_decile_verdict(o).first()["verdict"] == "skewed"
     spans = spark.createDataFrame([([(1, 3)], [0, 1, 1, 0])], "spans array<struct<start:int,end:int>>, labels array<int>")
     assert rows(ag.span_midpoints(spans), "midpoint") == [(0.5,)]
+
+
+def test_more_of_plans_and_reports(spark, sf):
+    w = spark.createDataFrame([("w", [f"s{i} x." for i in range(9)], TYPE2)], "window_id string, sentences array<string>, construction_type string")
+    p = sa.plans(w)
+    g = sa.human_counterpart(sa.comparison_grid(p, ["alpha", "beta"])).collect()
+    assert [r["generator"] for r in g] == ["alpha", "beta"] and g[0]["spans"] == g[1]["spans"] and g[0]["human"] == " ".join(g[0]["targets"][0])
+    r = ag.word_class_weights(spark.createDataFrame([("a  b c", 2), ("d", 1)], "text string, boundary int")).first()
+    assert (r["weight_0"], r["weight_1"]) == (4 / 4, 4 / 4)
+    m = ag.metric_values(spark.createDataFrame([("r", '{"a": {"b": 0.5}}')], "run string, j string"), "j", {"x": "a.b", "y": "a.c"}, ["run"])
+    assert {x["metric"]: x["value"] for x in m.collect()} == {"x": 0.5, "y": None}
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    assert pg.file_counts(d).agg(F.sum("n")).first()[0] == d.count()
