@@ -28,8 +28,6 @@ from seamline.llm.common import Apart, text_rows
 WINDOW = 3
 SURGE_DECLARED = 1
 SURGE = 80
-#: Of a page without such an element, regions below this share of the largest one are dropped.
-SHARE = 0.15
 #: A line is mostly links if they hold over this share of its text.
 LINKS = 0.6
 
@@ -45,12 +43,16 @@ _P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset
 #: Words of class, id and role names that mark what is not the article.
 _AWAY_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promoted|promotion|"
-    r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pagination|pager|toolbar|header|masthead|topbar|footer|foot|copyright|colophon|"
+    r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pagination|pager|toolbar|topbar|footer|foot|copyright|colophon|"
     r"sidebar|aside|rail|widget|widgets|related|recommended|recommendations|popular|trending|share|sharing|social|follow|"
     r"notice|notices|notification|alert|cookie|cookies|consent|gdpr|disclaimer|popup|modal|overlay|paywall|"
     r"form|login|signin|signup|subscribe|subscription|newsletter|search|"
     r"comment|comments|commentlist|discussion|disqus|replies|reply|respond|reader-comments|complementary|contentinfo|search)(?:$|[\s_-])"
 )
+#: The same where no article is open: an article's own header belongs to it.
+_HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")
+#: Names of layouts say what else is on the page, not what the element is.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without|show|hide)[_-][\w-]+")
 _MAIN_NAMES = re.compile(r"(?:^|\s)(?:articlebody|article-body|article_body|article-content|article__body|post-content|post-body|entry-content|main-content|main)(?:$|\s)")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -65,13 +67,14 @@ class Line:
     declared: bool
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool]:
-    """(is not the article, is declared to be the article) by an element's attributes."""
+def _marks(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """(is not the article, is declared to be the article) by an element's attributes; inside: of such an element."""
     away = main = False
     for m in _NAMED.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            away = away or bool(_AWAY_NAMES.search(value))
+            value = _LAYOUT.sub(" ", value)
+            away = away or bool(_AWAY_NAMES.search(value)) or not inside and bool(_HEADER_NAMES.search(value))
             main = main or bool(_MAIN_NAMES.search(value))
         elif key == "itemprop":
             main = main or value == "articlebody"
@@ -160,7 +163,7 @@ def lines_of(page: str) -> list[Line]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        a, d = _marks(name, m[3] or "") if m[3] and m[3] != "/" else (False, False)
+        a, d = _marks(name, m[3] or "", declared > 0) if m[3] and m[3] != "/" else (False, False)
         a = a or name in _AWAY and not (name == "header" and declared)
         d = d or name in _DECLARED
         open_.append((name, a, d))
@@ -207,10 +210,9 @@ def main_text(page: str | None) -> str:
         # A block that isn't the article's stands as a window of empty lines, at which sums dive.
         spaced += [None] * WINDOW if gone else [x]
     lengths = np.array([len(x.text) if x else 0 for x in spaced], np.int64)
-    found = regions(lengths, SURGE_DECLARED if declared else SURGE)
-    if not declared and found:
-        mass = [int(lengths[a : b + 1].sum()) for a, b in found]
-        found = [r for r, size in zip(found, mass, strict=True) if size >= SHARE * max(mass)]
+    # A page whose text surges nowhere is a short one: all that isn't boilerplate is kept.
+    found = [] if declared else regions(lengths, SURGE)
+    found = found or regions(lengths, SURGE_DECLARED)
     return "\n".join(x.text for a, b in found for x in spaced[a : b + 1] if x)
 
 

@@ -39,6 +39,9 @@ def test_regions_by_definition():
         (f"<body><div>Home | News</div><ul><li><a href=a>link one is long</a></li><li><a href=b>link two</a></li></ul><div><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><div class=footer>bye</div></body>", f"{LONG}\nYes.\n{LONG}"),
         ("<article><p>unclosed <i>tags", "unclosed tags"),
         ("<article><table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table></article>", "a b\nc"),
+        ("<div class='layout has-sidebar no-ads'><article><div class=post-header><h1>T</h1></div><p>x</p></article><div class='main-sidebar'>s</div></div>", "T\nx"),
+        ("<body><div id=wrap><div class=site-header>Site</div><p>Short text.</p></div></body>", "Short text."),
+        (f"<div id=w><p>{LONG}</p><div class=advert>Buy</div><p>{LONG}</p><div class='comment-list'><p>{LONG}</p></div></div>", f"{LONG}\n{LONG}"),
         ("<article><header><h1>Head</h1></header><p>body</p></article>", "Head\nbody"),
     ],
 )
