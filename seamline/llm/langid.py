@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamline.llm.common import Apart, small, text_rows
+from seamline.llm.common import Apart, checkpointed, small, text_rows
 
 #: The trigram models are fitted on about so many documents, chosen by a hash of the id.
 FIT_DOCUMENTS = 4000
@@ -149,24 +149,25 @@ def host_priors(scored: DataFrame, languages: Sequence[str]) -> DataFrame:
     """(_host, _p0, _p1, ...): each host's smoothed share of documents by language, from the texts alone.
 
     One grouped aggregation over all rows by (host, suffix) combines before it
-    shuffles; the levels above are sums of its rows.
+    shuffles; the levels above are sums of its rows, which are kept.
     """
     post = _softmax([F.col("_ll")[i] for i in range(len(languages))])
     sums = [F.sum(F.when(F.col("_grams") > 0, p).otherwise(0.0)).alias(f"_n{i}") for i, p in enumerate(post)]
-    hosts = scored.groupBy("_host", "_suffix").agg(*sums)
-    again = [F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(languages))]
-    suffixes, corpus = hosts.groupBy("_suffix").agg(*again), hosts.agg(*again).select([F.coalesce(f"_n{i}", F.lit(0.0)).alias(f"_a{i}") for i in range(len(languages))])
-
-    def smoothed(n: str, base: list[Column], weight: float) -> list[Column]:
-        total = sum((F.col(f"{n}{i}") for i in range(len(languages))), F.lit(0.0))
-        return [(F.col(f"{n}{i}") + weight * b) / (total + weight) for i, b in enumerate(base)]
-
     k = len(languages)
-    whole = corpus.select(*[p.alias(f"_g{i}") for i, p in enumerate(smoothed("_a", [F.lit(1.0 / k)] * k, float(k)))])
-    # One row: the corpus's shares.
-    by_suffix = suffixes.join(F.broadcast(whole)).select("_suffix", *[p.alias(f"_s{i}") for i, p in enumerate(smoothed("_n", [F.col(f"_g{i}") for i in range(k)], SUFFIX_WEIGHT))])
+    hosts = checkpointed(scored.groupBy("_host", "_suffix").agg(*sums))
+    again = [F.sum(f"_n{i}").alias(f"_n{i}") for i in range(k)]
+    # One row of k numbers.
+    corpus = [float(x or 0.0) for x in hosts.agg(*again).first()]
+    shares = [(n + 1.0) / (sum(corpus) + k) for n in corpus]
+
+    def smoothed(base: list[Column], weight: float) -> list[Column]:
+        total = sum((F.col(f"_n{i}") for i in range(k)), F.lit(0.0))
+        return [(F.col(f"_n{i}") + weight * b) / (total + weight) for i, b in enumerate(base)]
+
+    leaned = smoothed([F.lit(p) for p in shares], SUFFIX_WEIGHT)
+    by_suffix = hosts.groupBy("_suffix").agg(*again).select("_suffix", *[p.alias(f"_s{i}") for i, p in enumerate(leaned)])
     joined = hosts.join(by_suffix, "_suffix")
-    return joined.select("_host", *[p.alias(f"_p{i}") for i, p in enumerate(smoothed("_n", [F.col(f"_s{i}") for i in range(k)], HOST_WEIGHT))])
+    return joined.select("_host", *[p.alias(f"_p{i}") for i, p in enumerate(smoothed([F.col(f"_s{i}") for i in range(k)], HOST_WEIGHT))])
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", key: str = "doc_id", min_confidence: float = MIN_CONFIDENCE, model: Model | None = None) -> DataFrame:
