@@ -154,10 +154,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     stay = checkpointed(stay)
     remove(spark, at)
     whole = F.coalesce(text, F.lit(""))
-    parts = a.df.withColumns({"_th": F.xxhash64(whole), "_parts": F.split(whole, "\n", -1)})
+    # The text travels as its lines only.
+    parts = a.df.withColumns({"_th": F.xxhash64(whole), "_parts": F.split(whole, "\n", -1)}).drop(text)
     joined = parts.join(stay, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
     left = F.array_join(F.transform("_stay", lambda i: F.get(F.col("_parts"), i)), "\n")
-    kept = F.when(F.col("_stay").isNull(), whole).otherwise(left)
+    kept = F.when(F.col("_stay").isNull(), F.array_join("_parts", "\n")).otherwise(left)
     dropped = F.when(F.col("_stay").isNull(), F.lit(0)).otherwise(F.size("_parts") - F.size("_stay"))
     out = joined.withColumns({"_n": F.size("_parts").cast("long"), "_d": dropped.cast("long"), text: kept})
     return a.back(out, n_lines=F.col("_n"), n_dropped=F.col("_d"))
