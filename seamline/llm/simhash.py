@@ -135,10 +135,14 @@ def close_pairs(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits
     put_in = cells(dealt, bits, segments)
     left = put_in.select("_block", "_cell", F.col("_node").alias("_a"), F.col("_value").alias("_x"), F.col("_move").alias("_m"))
     right = put_in.select("_block", "_cell", F.col("_node").alias("_b"), F.col("_value").alias("_y"), F.col("_move").alias("_k"))
-    # Two points of one cell share all the cells around it; they need to meet in their own only.
-    meet = (F.col("_a") < F.col("_b")) & ((F.col("_m") != F.col("_k")) | ((F.col("_m") == 0) & (F.col("_k") == 0)))
+    # Most pairs share more than one cell. They meet in one of them: the left one's own cell if they are at most a
+    # step apart; else the one above both; else, if one is above the other, that over the lower one's first step.
+    m, k = F.col("_m"), F.col("_k")
+    ways = F.array(m == 0, (m > 0) & (k > 0) & (m != k), (m > 0) & (k < 0) & (m <= -k), (m < 0) & (k > 0) & (k <= -m))
+    # An array keeps the optimizer from filtering one side alone: both sides are one shuffle, read twice.
+    meet, once = F.col("_a") < F.col("_b"), F.array_contains(ways, True)
     near = F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))) <= max_bits
-    return left.join(right, ["_block", "_cell"]).where(meet & near).select("_a", "_b").distinct()
+    return left.join(right, ["_block", "_cell"]).where(meet & near & once).select("_a", "_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
