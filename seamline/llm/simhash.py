@@ -10,12 +10,13 @@ that lies between them). Pairs that meet are verified on the bits themselves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +31,13 @@ SEGMENTS = 16
 #: For the pipeline's stage: five words and a similarity of 0.8.
 STAGE_WIDTH = 5
 STAGE_SIMILARITY = 0.8
-#: 192 bits in blocks of 32; documents are compared if any block differs in MAX_BITS or fewer.
-STAGE_WORDS = 3
+#: 64 bits in blocks of 32; documents are compared first if any block differs in MAX_BITS or fewer.
+STAGE_WORDS = 1
 STAGE_BLOCK_BITS = 32
+#: What is common is read from about so many documents, and at most so many shingles count as common. Both
+#: set only the order of shingles, and by it how many pairs are compared; any order finds every pair.
+ORDER_DOCUMENTS = 10_000
+ORDER_SHINGLES = 100_000
 
 #: Points whose cells one task makes.
 TASK_POINTS = 50_000
@@ -193,6 +198,72 @@ def set_fingerprints(docs: DataFrame, width: int, words: int) -> DataFrame:
     return text_rows(src).mapInArrow(run, src.select("_id").schema.add("_set", "long").add("_size", "long").add("_words", T.ArrayType(T.LongType())))
 
 
+def common_shingles(docs: DataFrame, width: int, documents: int = ORDER_DOCUMENTS, most: int = ORDER_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and counts) of shingles that several documents of a bounded sample of docs(_id, _text) hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("_text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(shingles(t or b"", width))).view(np.int64))], names=["_token"])
+
+    share = min(1.0, documents / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64(F.lit("order"), "_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("_text").cast("binary").alias("_text"))
+    counted = text_rows(sample).mapInArrow(run, "_token long").groupBy("_token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = counted.orderBy(F.desc("_n"), "_token").limit(most).collect()
+    h, n = np.array([r["_token"] for r in rows], np.int64).view(np.uint64), np.array([r["_n"] for r in rows], np.int64)
+    o = np.argsort(h)
+    return h[o], n[o]
+
+
+def prefixes(docs: DataFrame, width: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(_token, _id, _size, _at) of docs(_id, _text): the first shingles of each set, rare ones first, and their place.
+
+    Sets of Jaccard similarity `least` or more share one of them: whichever of
+    two such sets has n shingles shares least * n of them or more, so the first
+    shared one has least * n - 1 or more behind it.
+    """
+    known, counts = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("_id")
+            for i, t in enumerate(b.column("_text").to_pylist()):
+                h = np.unique(_hashes(shingles(t or b"", width)))
+                n = len(h)
+                if not n:
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
+                first = h[: n - math.ceil(least * n - 1e-6) + 1].view(np.int64)
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first), ids.take(pa.array(np.full(k, i))), pa.array(np.full(k, n)), pa.array(np.arange(k))], names=["_token", "_id", "_size", "_at"])
+
+    src = docs.select("_id", F.col("_text").cast("binary").alias("_text"))
+    schema = T.StructType([T.StructField("_token", T.LongType()), src.schema["_id"], T.StructField("_size", T.LongType()), T.StructField("_at", T.LongType())])
+    return text_rows(src).mapInArrow(run, schema)
+
+
+def open_pairs(docs: DataFrame, placed: DataFrame, width: int, least: float) -> DataFrame:
+    """(_a, _b): all pairs of placed(_node, _component) in different components that can have that similarity.
+
+    docs are (_id, _text). None is missed, whatever the order of shingles; pairs that share a shingle of
+    their prefixes but are too unlike in size, or have too few shingles behind it, are left out.
+    """
+    by = Window.partitionBy("_token")
+    differ = lambda c: F.min(c).over(by) != F.max(c).over(by)
+    shared = prefixes(docs, width, least, common_shingles(docs, width)).withColumn("_differ", differ("_id")).where("_differ").drop("_differ")
+    known = checkpointed(shared).join(placed, F.col("_id") == F.col("_node")).select("_token", "_node", "_component", "_size", "_at")
+    known = checkpointed(known.withColumn("_differ", differ("_component")).where("_differ").drop("_differ"))
+    left = known.toDF("_token", "_x", "_p", "_m", "_i")
+    right = known.toDF("_token", "_y", "_q", "_n", "_j")
+    ordered = (F.col("_m") < F.col("_n")) | (F.col("_m") == F.col("_n")) & (F.col("_x") < F.col("_y"))
+    alike = F.col("_m") >= least * F.col("_n") - 1e-6
+    behind = F.least(F.col("_m") - F.col("_i"), F.col("_n") - F.col("_j")) >= least / (1 + least) * (F.col("_m") + F.col("_n")) - 1e-6
+    met = left.join(right, "_token").where((F.col("_p") != F.col("_q")) & ordered & alike & behind)
+    return met.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+
+
 def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The (_a, _b) of pairs(_a, _b, _left, _right) whose sets of shingles have that Jaccard similarity."""
 
@@ -213,10 +284,12 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """docs without near duplicates: of each group the document with the smallest id stays.
 
     Documents link if their sets of `width`-word shingles have a Jaccard
-    similarity of `similarity` or more. A SimHash of 64 * words bits over the
-    set is cut into blocks of 32; documents are compared, on the sets
-    themselves, if one block differs in at most two bits. Documents with one
-    set of shingles are one class and are represented by one of them.
+    similarity of `similarity` or more, all of them. A SimHash of 64 * words
+    bits over the set is cut into blocks of 32; documents are compared, on the
+    sets themselves, if one block differs in at most two bits. What that leaves
+    in different components is compared if the sets share a shingle of their
+    prefixes, which no pair of that similarity escapes. Documents with one set
+    of shingles are one class and are represented by one of them.
 
     Texts without words (null, empty, blank) are copies of each other. Rows
     that repeat an id are alike kept or dropped as that id is; rows with a
@@ -232,10 +305,18 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     blocks = [F.shiftrightunsigned(F.col("_words")[w], STAGE_BLOCK_BITS * p).bitwiseAND(mask) for w in range(words) for p in range(per)]
     points = classes.where(F.col("_size") > 0).select("_node", F.posexplode(F.array(*blocks)).alias("_block", "_value"))
     met = checkpointed(close_pairs(points, STAGE_BLOCK_BITS, segments, 2))
-    wanted = met.select(F.col("_a").alias("_id")).unionByName(met.select(F.col("_b").alias("_id"))).distinct()
-    texts = named.join(wanted, "_id", "left_semi").groupBy("_id").agg(F.first("_text").alias("_text"))
-    paired = met.join(texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_left")), "_a").join(texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_right")), "_b")
-    linked = connected_components(_similar(paired, width, similarity), "_a", "_b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("_a").alias("_id")).unionByName(pairs.select(F.col("_b").alias("_id"))).distinct()
+        texts = named.join(wanted, "_id", "left_semi").groupBy("_id").agg(F.first("_text").alias("_text"))
+        paired = pairs.join(texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_left")), "_a").join(texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_right")), "_b")
+        return checkpointed(_similar(paired, width, similarity))
+
+    near = verified(met)
+    found = connected_components(near, "_a", "_b")
+    placed = classes.where(F.col("_size") > 0).select("_node").join(found, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component", "_node").alias("_component"))
+    rest = verified(checkpointed(open_pairs(named.where(F.col("_id").isNotNull()), placed, width, similarity)))
+    linked = connected_components(near.unionByName(rest), "_a", "_b")
     away = linked.where(F.col("node") != F.col("component")).select(F.col("node").alias("_node"))
     # A document goes if it is not its class's representative, or its class hangs on another.
     stay = classes.select("_node").join(away, "_node", "left_anti")

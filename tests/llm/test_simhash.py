@@ -139,3 +139,24 @@ def test_query(spark, sf):
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
     for r in got.join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect():
         assert r["fingerprint"] == f"{brute_fingerprint(r['text']):016x}"
+
+
+def test_stage_finds_pairs_of_every_similarity(spark):
+    rng = random.Random(3)
+    rows, bands = [], defaultdict(int)
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 300))]
+        near = list(words)
+        # A passage at the end of one of the two, or words changed in it.
+        if k % 2:
+            near += [f"v{rng.randrange(10**6)}" for _ in range(int(len(words) * rng.uniform(0.01, 0.24)))]
+        else:
+            for _ in range(max(1, int(len(words) * rng.uniform(0, 0.022)))):
+                near[rng.randrange(len(near))] = "other"
+        j = jaccard(" ".join(words), " ".join(near))
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, " ".join(near), "en", "s")]
+        bands[int(j * 20)] += j >= 0.8
+    assert all(bands[b] >= 20 for b in (16, 17, 18))
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(docs(spark, rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    assert kept == {i for i in text if i % 2 == 0 or jaccard(text[i - 1], text[i]) < 0.8}
