@@ -10,7 +10,7 @@ of the address suffix, which is smoothed towards the prior of the whole corpus.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +21,9 @@ from pyspark.sql import types as T
 
 from seamline.llm.common import Apart, checkpointed, small, text_rows
 
-#: The trigram models are fitted on about so many documents, chosen by a hash of the id.
-FIT_DOCUMENTS = 4000
-#: At most so many languages, those declared most often; what is declared beyond them is no evidence.
-MAX_LANGUAGES = 32
+#: Each language's trigram model is fitted on about so many documents that declare it, or on all if they are
+#: fewer, chosen by a hash of the id.
+FIT_DOCUMENTS = 1000
 #: Overlapping trigrams aren't independent; their log-likelihood counts for a third.
 TEMPER = 1 / 3
 #: How often a declaration or a country's suffix is right.
@@ -92,17 +91,18 @@ def suffix_of(host: Column) -> Column:
 
 
 def fit(docs: DataFrame, text: str, declared: str, key: str, documents: int = FIT_DOCUMENTS) -> Model:
-    """Trigram models from a bounded sample of documents that declare a language.
+    """Trigram models of every declared language, each from a bounded sample of the documents that declare it.
 
-    The sample is those whose id's hash falls under a threshold that lets
-    about `documents` of all rows through; executors count, and the counts of
-    at most MAX_LANGUAGES languages reach the driver.
+    A language's sample is those whose id's hash falls under a threshold that
+    lets about `documents` of its own rows through, all if there are no more:
+    what a language's model is fitted on doesn't depend on how common others
+    are. Executors count; the counts by language and trigram reach the driver.
     """
     named = docs.select(primary(docs[f"`{declared}`"]).alias("_lang"), docs[f"`{key}`"].alias("_key"), docs[f"`{text}`"].cast("binary").alias("_text")).where(F.col("_lang") != "")
-    rows = named.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES).collect()
+    rows = named.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).collect()
     languages = tuple(sorted(r["_lang"] for r in rows))
-    share = min(1.0, documents / max(1, sum(r["_n"] for r in rows)))
-    sample = named.where((F.pmod(F.xxhash64(F.lit("fit"), "_key"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("_lang").isin(*languages))
+    limits = [F.lit(x) for r in rows for x in (r["_lang"], int(min(1.0, documents / r["_n"]) * (1 << 30)))]
+    sample = named.where(F.pmod(F.xxhash64(F.lit("fit"), "_key"), F.lit(1 << 30)) < F.create_map(*limits)[F.col("_lang")]) if limits else named
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {}
@@ -138,36 +138,44 @@ def with_likelihoods(docs: DataFrame, text: str, model: Model) -> DataFrame:
     return text_rows(src).mapInArrow(run, schema)
 
 
-def _softmax(scores: Sequence[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - top) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), where x is computed once however often it is used."""
+    return F.transform(F.array(x), then)[0]
+
+
+def _softmax(scores: Column) -> Column:
+    parts = _let(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp(s - top)))
+    return _let(parts, lambda p: _let(_total(p), lambda t: F.transform(p, lambda x: x / t)))
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
 def host_priors(scored: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """(_host, _p0, _p1, ...): each host's smoothed share of documents by language, from the texts alone.
+    """(_host, _p): each host's smoothed shares of documents by language, from the texts alone.
 
     One grouped aggregation over all rows by (host, suffix) combines before it
-    shuffles; the levels above are sums of its rows, which are kept.
+    shuffles; the levels above are sums of its rows, which are kept. Shares are
+    arrays: expressions don't grow with the number of languages.
     """
-    post = _softmax([F.col("_ll")[i] for i in range(len(languages))])
-    sums = [F.sum(F.when(F.col("_grams") > 0, p).otherwise(0.0)).alias(f"_n{i}") for i, p in enumerate(post)]
     k = len(languages)
-    hosts = checkpointed(scored.groupBy("_host", "_suffix").agg(*sums))
-    again = [F.sum(f"_n{i}").alias(f"_n{i}") for i in range(k)]
+
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        sums = rows.groupBy(*keys).agg(*[F.sum(F.col("_n")[i]).alias(f"_n{i}") for i in range(k)])
+        return sums.select(*keys, F.array(*[F.coalesce(f"_n{i}", F.lit(0.0)) for i in range(k)]).alias("_n"))
+
+    post = F.when(F.col("_grams") > 0, _softmax(F.col("_ll"))).otherwise(F.array_repeat(F.lit(0.0), k))
+    hosts = checkpointed(summed(scored.withColumn("_n", post), "_host", "_suffix"))
     # One row of k numbers.
-    corpus = [float(x or 0.0) for x in hosts.agg(*again).first()]
-    shares = [(n + 1.0) / (sum(corpus) + k) for n in corpus]
+    corpus = [float(x) for x in summed(hosts).first()["_n"]]
+    shares = F.array(*[F.lit((n + 1.0) / (sum(corpus) + k)) for n in corpus])
 
-    def smoothed(base: list[Column], weight: float) -> list[Column]:
-        total = sum((F.col(f"_n{i}") for i in range(k)), F.lit(0.0))
-        return [(F.col(f"_n{i}") + weight * b) / (total + weight) for i, b in enumerate(base)]
+    def smoothed(base: Column, weight: float) -> Column:
+        return F.zip_with("_n", base, lambda n, b: (n + weight * b) / (_total(F.col("_n")) + weight))
 
-    leaned = smoothed([F.lit(p) for p in shares], SUFFIX_WEIGHT)
-    by_suffix = hosts.groupBy("_suffix").agg(*again).select("_suffix", *[p.alias(f"_s{i}") for i, p in enumerate(leaned)])
-    joined = hosts.join(by_suffix, "_suffix")
-    return joined.select("_host", *[p.alias(f"_p{i}") for i, p in enumerate(smoothed([F.col(f"_s{i}") for i in range(k)], HOST_WEIGHT))])
+    by_suffix = summed(hosts, "_suffix").select("_suffix", smoothed(shares, SUFFIX_WEIGHT).alias("_s"))
+    return hosts.join(by_suffix, "_suffix").select("_host", smoothed(F.col("_s"), HOST_WEIGHT).alias("_p"))
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", key: str = "doc_id", min_confidence: float = MIN_CONFIDENCE, model: Model | None = None) -> DataFrame:
@@ -198,17 +206,19 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", addres
     stands = F.create_map(*[F.lit(x) for pair in sorted(COUNTRY_LANGUAGE.items()) for x in pair])[F.col("_suffix")]
     wrong = lambda right: math.log((1 - right) / max(1, k - 1)) if k > 1 else 0.0
 
-    def fused(i: int) -> Column:
-        tag = F.when(F.col("_tag") == langs[i], math.log(DECLARED_RIGHT)).when(F.col("_tag").isin(*langs), wrong(DECLARED_RIGHT)).otherwise(0.0)
-        suffix = F.when(stands == langs[i], math.log(SUFFIX_RIGHT)).when(stands.isin(*langs), wrong(SUFFIX_RIGHT)).otherwise(0.0)
-        return F.col("_ll")[i] + tag + suffix + F.log(F.col(f"_p{i}"))
+    names = F.array(*[F.lit(x) for x in langs])
+
+    def fused(x: Column, i: Column) -> Column:
+        name = F.get(names, i)
+        tag = F.when(F.col("_tag") == name, math.log(DECLARED_RIGHT)).when(F.array_contains(names, F.col("_tag")), wrong(DECLARED_RIGHT)).otherwise(0.0)
+        suffix = F.when(stands == name, math.log(SUFFIX_RIGHT)).when(F.array_contains(names, stands), wrong(SUFFIX_RIGHT)).otherwise(0.0)
+        return x + tag + suffix + F.log(F.get("_p", i))
 
-    joined = scored.join(priors, "_host").withColumn("_all", F.array(*[fused(i) for i in range(k)]))
+    joined = scored.join(priors, "_host").withColumn("_all", F.transform("_ll", fused))
     top = F.array_max("_all")
-    total = F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(F.col("_all"))))
+    total = _let(top, lambda m: F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.exp(x - m)))
     best = F.array_position("_all", top).cast("int")
     even = -math.log(_GRAMS) * TEMPER
     told = joined.withColumns({"_confidence": 1.0 / total, "_best": best})
     accepted = (F.col("_grams") > 0) & (F.element_at("_ll", F.col("_best")) > even * F.col("_grams")) & (F.col("_confidence") >= min_confidence)
-    names = F.array(*[F.lit(x) for x in langs])
     return a.back(told, language=F.element_at(names, F.col("_best")), confidence=F.col("_confidence"), accepted=accepted)

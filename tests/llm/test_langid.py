@@ -87,3 +87,18 @@ def test_odd_rows(spark):
 def test_accuracy(spark, sf):
     got = queries.op10_language_id(spark, sf).collect()
     assert sum(r["declared"] == r["language"] for r in got) >= 0.98 * len(got) and sum(r["accepted"] for r in got) >= 0.98 * len(got)
+
+
+def test_every_declared_language_has_a_model(spark):
+    # More than 32 languages, each in letters of its own; the last of them is rare.
+    word = lambda k: chr(97 + k % 26) + chr(97 + (k // 26 + k) % 26)
+    tags = [f"q{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows = [(100 * k + i, f"{word(k) * 3} {word(k)} {word(k) * 2} " * 10, tag, "z") for k, tag in enumerate(tags) for i in range(2 if k == 39 else 6)]
+    got = by_id(langid.identify(docs(spark, rows)))
+    assert all(got[i]["language"] == tag and got[i]["accepted"] for i, _, tag, _ in rows)
+
+
+def test_a_rare_language_is_sampled_whole(spark):
+    rows = [(i, EN, "en", "z") for i in range(3000)] + [(5000 + i, DE, "de", "z") for i in range(3)]
+    alone, among = (langid.fit(docs(spark, r), "text", "lang", "doc_id", documents=30) for r in (rows[3000:], rows))
+    assert among.languages == ("de", "en") and (among.log_p[:, 0] == alone.log_p[:, 0]).all()
