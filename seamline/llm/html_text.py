@@ -5,7 +5,8 @@ a menu, header, footer, sidebar, notice, advert, form, script or comments
 counts as empty, as do lines that are mostly links, and lines outside the
 element that a page declares to be its article. Text lengths are summed over
 windows of lines; the sum surges where the article begins and dives where it
-ends, and the lines between are kept.
+ends, and the lines between are kept. What an element marks as not the article
+doesn't end it: short lines on its other side belong to what they would join.
 """
 
 from __future__ import annotations
@@ -56,6 +57,9 @@ _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without|show|hide)[_-][\w
 _MAIN_NAMES = re.compile(r"(?:^|\s)(?:articlebody|article-body|article_body|article-content|article__body|post-content|post-body|entry-content|main-content|main)(?:$|\s)")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Ids of headings and sections in an article are anchors made of their titles; only these, whole, are not.
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+_COMMENTS = re.compile(r"comments?|comment[_-]?list|reader-comments|disqus(?:_thread)?")
 _BODY_LIKE = frozenset("html body".split())
 
 
@@ -73,6 +77,8 @@ def _marks(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     for m in _NAMED.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
+            if key == "id" and inside and name in _ANCHORED and not _COMMENTS.fullmatch(value.strip()):
+                continue
             value = _LAYOUT.sub(" ", value)
             away = away or bool(_AWAY_NAMES.search(value)) or not inside and bool(_HEADER_NAMES.search(value))
             main = main or bool(_MAIN_NAMES.search(value))
@@ -206,8 +212,10 @@ def main_text(page: str | None) -> str:
     declared = any(x.declared and not x.away for x in lines)
     spaced: list[Line | None] = []
     for x in lines:
-        gone = x.away or (not x.declared if declared else x.linked > LINKS * len(x.text))
-        # A block that isn't the article's stands as a window of empty lines, at which sums dive.
+        if x.away:
+            continue
+        gone = not x.declared if declared else x.linked > LINKS * len(x.text)
+        # A block of links, or outside the article, stands as a window of empty lines, at which sums dive.
         spaced += [None] * WINDOW if gone else [x]
     lengths = np.array([len(x.text) if x else 0 for x in spaced], np.int64)
     # A page whose text surges nowhere is a short one: all that isn't boilerplate is kept.

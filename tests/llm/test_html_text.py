@@ -83,3 +83,16 @@ def test_query(spark, sf):
         inner = re.search(r"(?s)<article>(.*)</article>", pages[r["page_id"]])[1]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", inner))
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><h1>Short headline</h1><div class=share>Share this</div><p>{LONG}</p></body>", f"Short headline\n{LONG}"),
+        (f"<body><p>{LONG}</p><div class=advert>Buy</div><p>The end.</p><div class=footer>bye</div></body>", f"{LONG}\nThe end."),
+        ("<article><p>in</p><section id='discussion'><h2 id='related-work'>Related work</h2><p>a</p></section><section id='social-impact'><p>b</p></section><h2 id=search-strategy>Search</h2></article>", "in\nRelated work\na\nb\nSearch"),
+        ("<article><p>in</p><section class=related id=more><p>x</p></section><section id=comments><p>y</p></section></article>", "in"),
+    ],
+)
+def test_short_blocks_and_anchors_stay(page, text):
+    assert main_text(page) == text
