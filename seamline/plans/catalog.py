@@ -694,5 +694,5 @@ def linear_detector(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     docs = d.select(F.col("doc_id").alias("record_id"), F.array("text").alias("sentences"), F.array("quality").alias("labels"))
-    fitted = LinearDetector(ngram=(1, 2), max_features=2000, c=1.0, max_iter=20).fit(docs.where("record_id % 5 <> 0"))
+    fitted = LinearDetector(ngram=(2, 4), max_features=200_000, c=1.0, max_iter=2000).fit(docs.where("record_id % 5 <> 0"))
     return _rounded(ev.sentence_metrics(fitted.predict(docs.where("record_id % 5 = 0"))))

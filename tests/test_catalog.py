@@ -28,3 +28,12 @@ def test_nothing_else_imports_them():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "seamline.llm" not in p.read_text() and "from seamline import llm" not in p.read_text()
+
+
+def test_linear_detector_has_the_whole_model(spark, sf, monkeypatch):
+    from seamline.operators.models import LinearDetector
+
+    seen, fit = [], LinearDetector.fit
+    monkeypatch.setattr(LinearDetector, "fit", lambda self, docs: seen.append(self) or fit(self, docs))
+    catalog.QUERIES["linear_detector"](spark, sf)
+    assert [(m.ngram, m.max_features, m.max_iter) for m in seen] == [((2, 4), 200_000, 2000)] and seen[0].model.summary.totalIterations > 20
