@@ -39,6 +39,8 @@ def connected_components(edges: DataFrame, u: str, v: str, max_steps: int = 100)
     named = edges.select(edges[f"`{u}`"].alias("_u"), edges[f"`{v}`"].alias("_v"))
     now = checkpointed(named.where(F.col("_u") != F.col("_v")).distinct())
     state = _state(now)
+    if not state[0]:
+        return now.toDF("node", "component")
     for _ in range(max_steps):
         now = checkpointed(_star(_star(now, True), False))
         before, state = state, _state(now)
@@ -48,3 +50,10 @@ def connected_components(edges: DataFrame, u: str, v: str, max_steps: int = 100)
         raise RuntimeError(f"components did not settle in {max_steps} steps")
     roots = now.select(F.col("_v").alias("node"), F.col("_v").alias("component")).distinct()
     return now.select(F.col("_u").alias("node"), F.col("_v").alias("component")).unionByName(roots)
+
+
+def extended(found: DataFrame, links: DataFrame, u: str, v: str) -> DataFrame:
+    """The components found (node, component) with further links between nodes; found itself if there are none."""
+    if links.isEmpty():
+        return found
+    return connected_components(found.select(F.col("node").alias(u), F.col("component").alias(v)).unionByName(links.select(u, v)), u, v)

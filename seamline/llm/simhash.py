@@ -16,12 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamline.llm.common import Apart, checkpointed, text_rows
-from seamline.llm.components import connected_components
+from seamline.llm.common import Apart, checkpointed, remove, scratch, text_rows
+from seamline.llm.components import connected_components, extended
 
 SEED = 42
 WIDTH = 3
@@ -31,9 +31,6 @@ SEGMENTS = 16
 #: For the pipeline's stage: five words and a similarity of 0.8.
 STAGE_WIDTH = 5
 STAGE_SIMILARITY = 0.8
-#: 64 bits in blocks of 32; documents are compared first if any block differs in MAX_BITS or fewer.
-STAGE_WORDS = 1
-STAGE_BLOCK_BITS = 32
 #: What is common is read from about so many documents, and at most so many shingles count as common. Both
 #: set only the order of shingles, and by it how many pairs are compared; any order finds every pair.
 ORDER_DOCUMENTS = 10_000
@@ -127,29 +124,77 @@ def cells(points: DataFrame, bits: int, segments: int) -> DataFrame:
     return out.select(*points.columns, F.col("_entry._move").alias("_move"), F.col("_entry._cell").alias("_cell"))
 
 
-def close_pairs(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(_a, _b), _a < _b: the `_node`s of points whose `_value`s differ in at most max_bits bits of one `_block`.
-
-    Nodes must be distinct within a block. Each pair is there once.
-    """
-    if max_bits > 2:
-        raise ValueError("unit cells reach a Manhattan distance of 2")
+def _entered(points: DataFrame, bits: int, segments: int) -> DataFrame:
+    """points(_node, _block, _value) in their cells, checkpointed before; tasks are dealt by the number of points."""
     points = checkpointed(points.select("_node", "_block", "_value"))
-    # A point is a few bytes but becomes some dozens of rows: tasks are dealt by the number of points.
-    dealt = points.repartition(max(1, -(-points.count() // TASK_POINTS)), "_block", "_node")
-    put_in = cells(dealt, bits, segments)
-    left = put_in.select("_block", "_cell", F.col("_node").alias("_a"), F.col("_value").alias("_x"), F.col("_move").alias("_m"))
-    right = put_in.select("_block", "_cell", F.col("_node").alias("_b"), F.col("_value").alias("_y"), F.col("_move").alias("_k"))
+    # A point is a few bytes but becomes some dozens of rows.
+    return cells(points.repartition(max(1, -(-points.count() // TASK_POINTS)), "_block", "_node"), bits, segments)
+
+
+def _pairs_within(put_in: DataFrame, max_bits: int, apart: str = "_node") -> DataFrame:
+    """(_a, _b), _a < _b, each once: nodes that meet in a cell, differ in at most max_bits bits and have two values of `apart`."""
+    left = put_in.select("_block", "_cell", F.col("_node").alias("_a"), F.col("_value").alias("_x"), F.col("_move").alias("_m"), F.col(apart).alias("_p"))
+    right = put_in.select("_block", "_cell", F.col("_node").alias("_b"), F.col("_value").alias("_y"), F.col("_move").alias("_k"), F.col(apart).alias("_q"))
     # Most pairs share more than one cell. They meet in one of them: the left one's own cell if they are at most a
     # step apart; else the one above both; else, if one is above the other, that over the lower one's first step.
     m, k = F.col("_m"), F.col("_k")
     ways = F.array(m == 0, (m > 0) & (k > 0) & (m != k), (m > 0) & (k < 0) & (m <= -k), (m < 0) & (k > 0) & (k <= -m))
     # An array keeps the optimizer from filtering one side alone: both sides are one shuffle, read twice.
-    meet, once = F.col("_a") < F.col("_b"), F.array_contains(ways, True)
+    meet, once = (F.col("_a") < F.col("_b")) & (F.col("_p") != F.col("_q")), F.array_contains(ways, True)
     near = F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))) <= max_bits
     return left.join(right, ["_block", "_cell"]).where(meet & near & once).select("_a", "_b").distinct()
 
 
+def close_pairs(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(_a, _b), _a < _b: the `_node`s of points whose `_value`s differ in at most max_bits bits of one `_block`.
+
+    Nodes must be distinct within a block. Each pair is there once, so close
+    groups give as many rows as they have pairs: see near_links().
+    """
+    if max_bits > 2:
+        raise ValueError("unit cells reach a Manhattan distance of 2")
+    return _pairs_within(_entered(points, bits, segments), max_bits)
+
+
+def _divided(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """The rows whose group by keys has several values of `by`, with the least and greatest of them, `_low` and `_high`.
+
+    Groups are told by an aggregate that combines before it shuffles, and a
+    group that is too large for a task is a join's skewed side.
+    """
+    ends = rows.groupBy(*keys).agg(F.min(by).alias("_low"), F.max(by).alias("_high")).where(F.col("_low") != F.col("_high"))
+    return rows.join(ends, keys)
+
+
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (with `_node`) with the `_component` that found(node, component) puts it in; by itself its own node."""
+    return rows.join(found.select(F.col("node").alias("_of"), "component"), F.col("_node") == F.col("_of"), "left").withColumn("_component", F.coalesce("component", "_node")).drop("_of", "component")
+
+
+def near_links(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """(_a, _b) links and (node, component) components: some of close_pairs() that join the same points as all of them do.
+
+    Every point of a cell is held against the cell's least and greatest node
+    first, which joins a close group by a link or two a point. Pairs are only
+    sought between points that this leaves in different components.
+    """
+    if max_bits > 2:
+        raise ValueError("unit cells reach a Manhattan distance of 2")
+    keys = ["_block", "_cell"]
+    shared = checkpointed(_divided(_entered(points, bits, segments), keys, "_node"))
+    near = F.bit_count(F.col("_value").bitwiseXOR(F.col("_hub"))) <= max_bits
+    stars = []
+    for end in ("_low", "_high"):
+        hubs = shared.where(F.col("_node") == F.col(end)).select(*keys, F.col("_value").alias("_hub"))
+        met = shared.join(hubs, keys).where((F.col("_node") != F.col(end)) & near)
+        stars.append(met.select(F.least("_node", end).alias("_a"), F.greatest("_node", end).alias("_b")))
+    star = checkpointed(stars[0].unionByName(stars[1]).distinct())
+    found = connected_components(star, "_a", "_b")
+    left = checkpointed(_divided(_placed(shared.drop("_low", "_high"), found), keys, "_component"))
+    rest = checkpointed(_pairs_within(left, max_bits, "_component"))
+    return star.unionByName(rest), extended(found, rest, "_a", "_b")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of docs.
 
@@ -165,8 +210,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = docs.select(docs[f"`{doc_id}`"].alias("_id"), docs[f"`{text}`"].alias("_text"))
     fps = checkpointed(fingerprints(named, "_text", width, ("_id",)))
     points = fps.groupBy(F.col("_fp").alias("_node")).agg(F.min("_id").alias("_least")).withColumns({"_block": F.lit(0), "_value": F.col("_node")})
-    pairs = close_pairs(points, 64, segments, max_bits)
-    linked = connected_components(pairs, "_a", "_b")
+    linked = near_links(points, 64, segments, max_bits)[1]
     grouped = points.select("_node", "_least").join(linked, F.col("_node") == F.col("node"), "left")
     grouped = grouped.select("_node", "_least", F.coalesce("component", "_node").alias("_root"))
     roots = grouped.groupBy("_root").agg(F.min("_least").alias("_component"))
@@ -175,29 +219,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select(F.col("_id").alias(doc_id), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
-def _set_prints(text: bytes, width: int, words: int) -> tuple[int, int, list[int]]:
-    """(hash of the set of shingles, its size, SimHash words) over distinct shingles."""
-    h = np.unique(_hashes(shingles(text, width)))
-    with np.errstate(over="ignore"):
-        whole = int(_mixed(h, 101).sum(dtype=np.uint64)) if len(h) else 0
-    return _signed(whole), len(h), [_signed(_majority(_mixed(h, k + 1))) for k in range(words)]
-
-
-def set_fingerprints(docs: DataFrame, width: int, words: int) -> DataFrame:
-    """(_id, _set, _size, _words) of docs(_id, _text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [_set_prints(t or b"", width, words) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int64()))],
-                names=["_id", "_set", "_size", "_words"],
-            )
-
-    src = docs.select("_id", F.col("_text").cast("binary").alias("_text"))
-    return text_rows(src).mapInArrow(run, src.select("_id").schema.add("_set", "long").add("_size", "long").add("_words", T.ArrayType(T.LongType())))
-
-
 def common_shingles(docs: DataFrame, width: int, documents: int = ORDER_DOCUMENTS, most: int = ORDER_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ascending, and counts) of shingles that several documents of a bounded sample of docs(_id, _text) hold."""
 
@@ -215,53 +236,71 @@ def common_shingles(docs: DataFrame, width: int, documents: int = ORDER_DOCUMENT
     return h[o], n[o]
 
 
-def prefixes(docs: DataFrame, width: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(_token, _id, _size, _at) of docs(_id, _text): the first shingles of each set, rare ones first, and their place.
+def set_prints(docs: DataFrame, width: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(_id, _set, _size, _fp, _prefix) of docs(_id, _text): a hash of the set of its shingles, their number, the set's SimHash and its prefix.
 
-    Sets of Jaccard similarity `least` or more share one of them: whichever of
-    two such sets has n shingles shares least * n of them or more, so the first
-    shared one has least * n - 1 or more behind it.
+    A prefix is the set's first shingles, rare ones first. Sets of Jaccard
+    similarity `least` or more share one of them: whichever of two such sets
+    has n shingles shares least * n of them or more, so the first shared one
+    has least * n - 1 or more behind it.
     """
     known, counts = common
 
+    def one(text: bytes) -> tuple[int, int, int, np.ndarray]:
+        h = np.unique(_hashes(shingles(text, width)))
+        n = len(h)
+        if not n:
+            return 0, 0, 0, np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            whole = int(_mixed(h, 101).sum(dtype=np.uint64))
+        fp = _majority(_mixed(h, 1))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
+        return _signed(whole), n, _signed(fp), h[: n - math.ceil(least * n - 1e-6) + 1].view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("_id")
-            for i, t in enumerate(b.column("_text").to_pylist()):
-                h = np.unique(_hashes(shingles(t or b"", width)))
-                n = len(h)
-                if not n:
-                    continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
-                first = h[: n - math.ceil(least * n - 1e-6) + 1].view(np.int64)
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(first), ids.take(pa.array(np.full(k, i))), pa.array(np.full(k, n)), pa.array(np.arange(k))], names=["_token", "_id", "_size", "_at"])
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                made = [one(t or b"") for t in part.column("_text").to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(m[3]) for m in made])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([m[3] for m in made]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("_id"), *[pa.array([m[k] for m in made], pa.int64()) for k in range(3)], lists], names=["_id", "_set", "_size", "_fp", "_prefix"])
 
     src = docs.select("_id", F.col("_text").cast("binary").alias("_text"))
-    schema = T.StructType([T.StructField("_token", T.LongType()), src.schema["_id"], T.StructField("_size", T.LongType()), T.StructField("_at", T.LongType())])
+    schema = src.select("_id").schema.add("_set", "long").add("_size", "long").add("_fp", "long").add("_prefix", T.ArrayType(T.LongType()))
     return text_rows(src).mapInArrow(run, schema)
 
 
-def open_pairs(docs: DataFrame, placed: DataFrame, width: int, least: float) -> DataFrame:
-    """(_a, _b): all pairs of placed(_node, _component) in different components that can have that similarity.
+def _possible(least: float) -> Column:
+    """Whether sets of _m and _n shingles that share the one at _i and _j of theirs, and none before, can have that similarity."""
+    alike = F.least("_m", "_n") >= least * F.greatest("_m", "_n") - 1e-6
+    return alike & (F.least(F.col("_m") - F.col("_i"), F.col("_n") - F.col("_j")) >= least / (1 + least) * (F.col("_m") + F.col("_n")) - 1e-6)
+
+
+def star_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """(_a, _b): every set of shared(_token, _node, _size, _at, _low, _high) beside the least and greatest node that have its token."""
+    out = []
+    mine = shared.select("_token", "_low", "_high", F.col("_node").alias("_x"), F.col("_size").alias("_m"), F.col("_at").alias("_i"))
+    for end in ("_low", "_high"):
+        hubs = shared.where(F.col("_node") == F.col(end)).select("_token", F.col("_size").alias("_n"), F.col("_at").alias("_j"))
+        met = mine.join(hubs, "_token").where((F.col("_x") != F.col(end)) & _possible(least))
+        out.append(met.select(F.least("_x", end).alias("_a"), F.greatest("_x", end).alias("_b")))
+    return out[0].unionByName(out[1]).distinct()
+
+
+def open_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """(_a, _b): all pairs of placed(_token, _node, _size, _at, _component) in different components that can have that similarity.
 
-    docs are (_id, _text). None is missed, whatever the order of shingles; pairs that share a shingle of
-    their prefixes but are too unlike in size, or have too few shingles behind it, are left out.
+    None is missed, whatever the order of shingles; pairs that share a shingle of their prefixes but are too
+    unlike in size, or have too few shingles behind it, are left out.
     """
-    by = Window.partitionBy("_token")
-    differ = lambda c: F.min(c).over(by) != F.max(c).over(by)
-    shared = prefixes(docs, width, least, common_shingles(docs, width)).withColumn("_differ", differ("_id")).where("_differ").drop("_differ")
-    known = checkpointed(shared).join(placed, F.col("_id") == F.col("_node")).select("_token", "_node", "_component", "_size", "_at")
-    known = checkpointed(known.withColumn("_differ", differ("_component")).where("_differ").drop("_differ"))
-    left = known.toDF("_token", "_x", "_p", "_m", "_i")
-    right = known.toDF("_token", "_y", "_q", "_n", "_j")
-    ordered = (F.col("_m") < F.col("_n")) | (F.col("_m") == F.col("_n")) & (F.col("_x") < F.col("_y"))
-    alike = F.col("_m") >= least * F.col("_n") - 1e-6
-    behind = F.least(F.col("_m") - F.col("_i"), F.col("_n") - F.col("_j")) >= least / (1 + least) * (F.col("_m") + F.col("_n")) - 1e-6
-    met = left.join(right, "_token").where((F.col("_p") != F.col("_q")) & ordered & alike & behind)
-    return met.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
+    known = checkpointed(_divided(placed, ["_token"], "_component").drop("_low", "_high"))
+    left = known.select("_token", F.col("_node").alias("_x"), F.col("_component").alias("_p"), F.col("_size").alias("_m"), F.col("_at").alias("_i"))
+    right = known.select("_token", F.col("_node").alias("_y"), F.col("_component").alias("_q"), F.col("_size").alias("_n"), F.col("_at").alias("_j"))
+    met = left.join(right, "_token").where((F.col("_x") < F.col("_y")) & (F.col("_p") != F.col("_q")) & _possible(least))
+    return met.select(F.col("_x").alias("_a"), F.col("_y").alias("_b")).distinct()
 
 
 def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -280,46 +319,50 @@ def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
     return text_rows(src).mapInArrow(run, src.select("_a", "_b").schema)
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY, words: int = STAGE_WORDS, segments: int = SEGMENTS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY, segments: int = SEGMENTS) -> DataFrame:
     """docs without near duplicates: of each group the document with the smallest id stays.
 
     Documents link if their sets of `width`-word shingles have a Jaccard
-    similarity of `similarity` or more, all of them. A SimHash of 64 * words
-    bits over the set is cut into blocks of 32; documents are compared, on the
-    sets themselves, if one block differs in at most two bits. What that leaves
-    in different components is compared if the sets share a shingle of their
-    prefixes, which no pair of that similarity escapes. Documents with one set
-    of shingles are one class and are represented by one of them.
+    similarity of `similarity` or more, all of them. Documents with one set of
+    shingles are one class. Classes whose SimHashes differ in at most two bits
+    meet by the grid; beyond that grid's reach, sets meet if their prefixes
+    share a shingle, which no pair of that similarity escapes. In both, a group
+    is first held against two of its members; what that leaves in different
+    components is compared pair by pair. All that meet are verified on the
+    sets themselves.
 
     Texts without words (null, empty, blank) are copies of each other. Rows
     that repeat an id are alike kept or dropped as that id is; rows with a
     null id stay. Every column stays as it is.
     """
+    spark = docs.sparkSession
     a = Apart(docs)
     named = a.df.select(F.col(a.at(doc_id)).alias("_id"), F.col(a.at(text)).alias("_text"))
-    prints = checkpointed(set_fingerprints(named.where(F.col("_id").isNotNull()), width, words))
-    classes = prints.groupBy("_set", "_size").agg(F.min("_id").alias("_node"), F.min_by("_words", "_id").alias("_words"))
-    classes = checkpointed(classes)
-    per = 64 // STAGE_BLOCK_BITS
-    mask = F.lit((1 << STAGE_BLOCK_BITS) - 1).cast("long")
-    blocks = [F.shiftrightunsigned(F.col("_words")[w], STAGE_BLOCK_BITS * p).bitwiseAND(mask) for w in range(words) for p in range(per)]
-    points = classes.where(F.col("_size") > 0).select("_node", F.posexplode(F.array(*blocks)).alias("_block", "_value"))
-    met = checkpointed(close_pairs(points, STAGE_BLOCK_BITS, segments, 2))
+    told = named.where(F.col("_id").isNotNull())
+    prints = set_prints(told, width, similarity, common_shingles(told, width))
+    at = scratch(spark, "classes")
+    prints.groupBy("_set", "_size").agg(F.min("_id").alias("_node"), F.first("_fp").alias("_fp"), F.first("_prefix").alias("_prefix")).write.parquet(at)
+    classes = spark.read.parquet(at)
+    some = classes.where(F.col("_size") > 0)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs)
         wanted = pairs.select(F.col("_a").alias("_id")).unionByName(pairs.select(F.col("_b").alias("_id"))).distinct()
         texts = named.join(wanted, "_id", "left_semi").groupBy("_id").agg(F.first("_text").alias("_text"))
         paired = pairs.join(texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_left")), "_a").join(texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_right")), "_b")
         return checkpointed(_similar(paired, width, similarity))
 
-    near = verified(met)
+    gridded = near_links(some.select("_node", F.lit(0).alias("_block"), F.col("_fp").alias("_value")), 64, segments, MAX_BITS)[0]
+    tokens = some.select("_node", "_size", F.posexplode("_prefix").alias("_at", "_token"))
+    shared = checkpointed(_divided(tokens, ["_token"], "_node"))
+    near = verified(gridded.unionByName(star_pairs(shared, similarity)).distinct())
     found = connected_components(near, "_a", "_b")
-    placed = classes.where(F.col("_size") > 0).select("_node").join(found, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component", "_node").alias("_component"))
-    rest = verified(checkpointed(open_pairs(named.where(F.col("_id").isNotNull()), placed, width, similarity)))
-    linked = connected_components(near.unionByName(rest), "_a", "_b")
+    rest = verified(open_pairs(_placed(shared.drop("_low", "_high"), found), similarity))
+    linked = extended(found, rest, "_a", "_b")
     away = linked.where(F.col("node") != F.col("component")).select(F.col("node").alias("_node"))
     # A document goes if it is not its class's representative, or its class hangs on another.
-    stay = classes.select("_node").join(away, "_node", "left_anti")
+    stay = checkpointed(classes.select("_node").join(away, "_node", "left_anti").distinct())
+    remove(spark, at)
     rows = a.df.withColumn("_node", F.col(a.at(doc_id)))
     kept = rows.where(F.col("_node").isNotNull()).join(stay, "_node", "left_semi").select(a.df.columns)
     return a.back(kept.unionByName(rows.where(F.col("_node").isNull()).select(a.df.columns)))

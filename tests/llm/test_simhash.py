@@ -74,6 +74,31 @@ def test_close_pairs_are_exact(spark):
     assert {(r["_a"], r["_b"]) for r in one} == {(a, b) for a, b in want if ((a ^ b) & (1 << 64) - 1).bit_count() <= 1}
 
 
+def test_links_of_a_close_group_are_few(spark):
+    rng = random.Random(11)
+    base = rng.getrandbits(62)
+    values = {base ^ 1 << a ^ 1 << b for a in range(62) for b in range(62)} | {rng.getrandbits(62) for _ in range(50)}
+    points = spark.createDataFrame([(v, 0, v) for v in values], "_node long, _block int, _value long")
+    got = [(r["_a"], r["_b"]) for r in simhash.near_links(points, 64)[0].collect()]
+    want = classes(sorted(values), [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2])
+    assert classes(sorted(values), got) == want and len(got) <= 2 * (2 * simhash.SEGMENTS + 1) * len(values)
+
+
+def test_variants_of_one_text_are_no_square(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(1000):
+        near = list(words)
+        near[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(near), "en", "s"))
+    d = spark.createDataFrame([(r[0], r[1]) for r in rows], "_id long, _text string")
+    prints = simhash.set_prints(d, 5, 0.8, simhash.common_shingles(d, 5))
+    tokens = prints.selectExpr("_id as _node", "_size", "posexplode(_prefix) as (_at, _token)")
+    assert simhash.star_pairs(simhash._divided(tokens, ["_token"], "_node"), 0.8).count() < 20 * 1000
+    assert [r["doc_id"] for r in simhash.keep_one_of_each(docs(spark, rows)).collect()] == [0]
+
+
 def test_counts_bound_distance():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 1000, np.uint64), rng.integers(0, 1 << 63, 1000, np.uint64)
