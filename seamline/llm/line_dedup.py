@@ -2,15 +2,23 @@
 
 What has been seen is kept as levelled sorted runs of line hashes, in the
 manner of a log-structured merge tree. A run holds, for each 128-bit hash of a
-line's key, in how many documents of its batches the line was and the largest
-document id among them. A new batch is anti-joined with the runs, which tells
-new lines from known ones, and its own run joins level 0. A level that has
-`fanout` runs is compacted into one run of the next level, which sums the
-counts, so that a line is rewritten once per level and not once per batch.
+line's key, in how many documents of its batch the line was and the largest
+document id among them. A new batch is merge-anti-joined with the runs: lines
+that no run holds become a run of their own at level 0, and the others are
+increments of lines that are known. So a line is in one run only. A level that
+has `fanout` runs is compacted into one run of the next level by a merge of
+sorted runs, so that a line is rewritten once per level and not once per batch.
+A line's documents are those of its run and its increments.
+
+Runs are tables bucketed and sorted by the hash, a file for each bucket, so
+that anti-joins and compactions read them in order, without a shuffle or sort.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,69 +64,105 @@ def batch_counts(lines: DataFrame) -> DataFrame:
     return once.groupBy(*_HASH).agg(F.sum("_one").cast("long").alias("_n"), F.max("_id").alias("_keeper"))
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    """Bucketed tables of a file for each bucket are read as sorted, while what is inside runs."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LineRuns:
     """Levelled runs in a shared folder. Batches must hold different documents."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
         if fanout < 2:
             raise ValueError("a level is compacted at two runs or more")
         self.spark, self.fanout = spark, fanout
+        # As many as a shuffle has partitions: what is dealt by the hash is then dealt to buckets too.
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or scratch(spark, "line-runs")
         self.levels: list[list[str]] = []
-        self._made = 0
+        self.increments: list[str] = []
 
-    def _write(self, run: DataFrame, level: int) -> str:
-        path = f"{self.path}/level-{level}/run-{self._made:06d}"
-        self._made += 1
-        run.sortWithinPartitions(*_HASH).write.parquet(path)
-        return path
+    def _write(self, run: DataFrame) -> str:
+        """The name of a new table of a run, or of a batch, sorted as a run is."""
+        name = f"seamline_run_{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths])
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, f"{self.path}/{name}")
 
     @property
     def runs(self) -> list[str]:
         return [p for level in self.levels for p in level]
 
+    def _keys(self, run: str) -> DataFrame:
+        return self.spark.table(run).select(*_HASH).hint("merge")
+
+    def unseen(self, lines: DataFrame) -> DataFrame:
+        """The rows of lines (with the hash) that no run holds."""
+        return reduce(lambda left, run: left.join(self._keys(run), _HASH, "left_anti"), self.runs, lines)
+
     def add(self, lines: DataFrame) -> None:
-        """Merge-anti-join a batch of hashed lines with the runs and add its own run.
-
-        The run marks as `_new` the lines that no earlier run holds.
-        """
-        counts = batch_counts(lines)
-        if self.runs:
-            seen = self._read(self.runs).select(*_HASH).hint("merge")
-            fresh = counts.join(seen, _HASH, "left_anti").withColumn("_new", F.lit(True))
-            known = counts.join(seen, _HASH, "left_semi").withColumn("_new", F.lit(False))
-            counts = fresh.unionByName(known)
-        else:
-            counts = counts.withColumn("_new", F.lit(True))
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(counts, 0))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            self._compact(level)
-            level += 1
+        """Merge-anti-join a batch of hashed lines with the runs; new lines become a run, others increments."""
+        with _in_order(self.spark):
+            batch = self._write(batch_counts(lines))
+            if not self.levels:
+                self.levels.append([])
+            if self.runs:
+                rows = self.spark.table(batch)
+                path = f"{self.path}/known-{len(self.increments):06d}"
+                # A line is in one run at most, so what the runs know of the batch are different lines.
+                reduce(DataFrame.unionByName, [rows.join(self._keys(run), _HASH, "left_semi") for run in self.runs]).write.parquet(path)
+                self.increments.append(path)
+                fresh = self._write(self.unseen(rows))
+                self._drop(batch)
+                batch = fresh
+            self.levels[0].append(batch)
+            level = 0
+            while len(self.levels[level]) >= self.fanout:
+                self._compact(level)
+                level += 1
 
     def _compact(self, level: int) -> None:
         old = self.levels[level]
-        merged = self.merged(old).withColumn("_new", F.lit(True))
+
+        def merge(left: DataFrame, right: DataFrame) -> DataFrame:
+            both = left.join(right.toDF(*_HASH, "_m", "_k").hint("merge"), _HASH, "full_outer")
+            return both.select(*_HASH, F.coalesce("_n", "_m").alias("_n"), F.coalesce("_keeper", "_k").alias("_keeper"))
+
+        merged = self._write(reduce(merge, [self.spark.table(run) for run in old]))
         if len(self.levels) == level + 1:
             self.levels.append([])
-        self.levels[level + 1].append(self._write(merged, level + 1))
+        self.levels[level + 1].append(merged)
         self.levels[level] = []
-        for path in old:
-            remove(self.spark, path)
-
-    def merged(self, paths: list[str] | None = None) -> DataFrame:
-        """(_h1, _h2, _n, _keeper) over all runs."""
-        runs = self._read(self.runs if paths is None else paths)
-        return runs.groupBy(*_HASH).agg(F.sum("_n").alias("_n"), F.max("_keeper").alias("_keeper"))
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The hashed lines that no run holds: what a pipeline that keeps first copies goes on with."""
-        return lines.join(self._read(self.runs).select(*_HASH), _HASH, "left_anti") if self.runs else lines
+        for run in old:
+            self._drop(run)
+
+    def counted(self, least: int = 1) -> DataFrame:
+        """(_h1, _h2, _n, _keeper) of the lines in at least so many documents, as a table of its own."""
+        with _in_order(self.spark):
+            parts = [self.spark.table(run) for run in self.runs]
+            if self.increments:
+                more = self.spark.read.parquet(*self.increments).groupBy(*_HASH).agg(F.sum("_n").alias("_m"), F.max("_keeper").alias("_k"))
+                parts = [
+                    run.join(more.hint("merge"), _HASH, "left").select(*_HASH, (F.col("_n") + F.coalesce("_m", F.lit(0))).alias("_n"), F.greatest("_keeper", "_k").alias("_keeper"))
+                    for run in parts
+                ]
+            return checkpointed(reduce(DataFrame.unionByName, parts).where(F.col("_n") >= least))
+
+    def clear(self) -> None:
+        for run in self.runs:
+            self._drop(run)
+        self.levels, self.increments = [], []
+        remove(self.spark, self.path)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -144,8 +188,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     for b in range(batches):
         runs.add(lines.where(F.col("_batch") == b))
     # As a table of its own, the side of a join whose other side may be skewed can be dealt anew.
-    repeated = checkpointed(runs.merged().where(F.col("_n") >= min_documents))
-    remove(spark, runs.path)
+    repeated = runs.counted(min_documents)
+    runs.clear()
     gone = lines.join(repeated, _HASH).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     # The places that stay, as an array of their own: membership is tested once per document, not once per line.
     stay = gone.groupBy(F.col("_id").alias("_i"), F.col("_th").alias("_t")).agg(

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from fixtures import DOCS, ODD, clashing, docs
 
-from seamline.llm import queries
+from seamline.llm import line_dedup, queries
 from seamline.llm.line_dedup import LineRuns, dedup_lines, hashed_lines
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,7 +78,23 @@ def test_runs_tell_new_from_known(spark):
     assert [len(x) for x in runs.levels] == [0, 1]
     runs.add(lines([(4, b)]))
     assert [len(x) for x in runs.levels] == [1, 1]
-    assert sorted((r["_n"], r["_keeper"]) for r in runs.merged().collect()) == [(2, 4), (3, 3)]
+    assert sorted((r["_n"], r["_keeper"]) for r in runs.counted().collect()) == [(2, 4), (3, 3)]
+    held = [sorted(r["_n"] for r in spark.table(run).collect()) for run in runs.runs]
+    assert sorted(held) == [[], [1, 2]], "a line that is known must not be in a second run"
+    runs.clear()
+    assert not spark.catalog.listTables()
+
+
+def test_runs_are_read_in_order(spark):
+    runs = LineRuns(spark)
+    lines = lambda rows: hashed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    for b in range(3):
+        runs.add(lines([(100 * b + i, f"a line of some length with number {i * (b + 1)}") for i in range(60)]))
+    with line_dedup._in_order(spark):
+        plan = runs.unseen(spark.table(runs.runs[0]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert len({(r["_h1"], r["_h2"]) for run in runs.runs for r in spark.table(run).collect()}) == sum(spark.table(run).count() for run in runs.runs)
+    runs.clear()
 
 
 def test_against_sql(spark, sf, same_rows):
