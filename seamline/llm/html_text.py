@@ -1,12 +1,13 @@
 """Main text of web pages by the distribution of line blocks.
 
-Markup is stripped to lines, one for each block of text. A line that belongs to
-a menu, header, footer, sidebar, notice, advert, form, script or comments
-counts as empty, as do lines that are mostly links, and lines outside the
-element that a page declares to be its article. Text lengths are summed over
-windows of lines; the sum surges where the article begins and dives where it
-ends, and the lines between are kept. What an element marks as not the article
-doesn't end it: short lines on its other side belong to what they would join.
+Markup is stripped to lines, one for each block of text. A line weighs what it
+has of text outside links, more in an element that the page declares to be its
+article; a line that is mostly links, or outside such an element, weighs
+against. Weights are summed over windows of lines: the sum surges where the
+article begins and dives where it ends, and the lines between that weigh for it
+are kept. What an element marks as a menu, header, footer, sidebar, notice,
+advert, form, script or comments takes no place in a window, so it doesn't end
+the article that it stands in.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import types as T
 
 from seamline.llm.common import Apart, text_rows
 
-#: Lines in a window, and the sums at which a window surges: in an element that is
-#: declared to be the article, and elsewhere.
+#: Lines in a window, and the sum at which a window surges, or this share of the page's greatest sum if that is less.
 WINDOW = 3
-SURGE_DECLARED = 1
 SURGE = 80
+PEAK_SHARE = 0.25
+#: What a line in an element declared to be the article weighs beside its text, and what a line against the article weighs.
+#: A declared line surges whatever the others in its window are.
+AGAINST = -20
+DECLARED = SURGE - (WINDOW - 1) * AGAINST
 #: A line is mostly links if they hold over this share of its text.
 LINKS = 0.6
 
@@ -50,12 +54,16 @@ _AWAY_NAMES = re.compile(
     r"form|login|signin|signup|subscribe|subscription|newsletter|search|"
     r"comment|comments|commentlist|discussion|disqus|replies|reply|respond|reader-comments|complementary|contentinfo|search)(?:$|[\s_-])"
 )
+#: Those of them that may also stand for a part of an article: they mark no paragraph, heading or the like in one.
+_WEAK_NAMES = re.compile(r"(?:^|(?<=[\s_-]))(?:alert|search|follow|foot|form|social|discussion|popular|rail|overlay|notification|notices?|recommendations?|disclaimer|consent|copyright|aside|foot)(?=$|[\s_-])")
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr table ul ol dl blockquote pre figure figcaption section span em strong b i".split())
 #: The same where no article is open: an article's own header belongs to it.
 _HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")
 #: Names of layouts say what else is on the page, not what the element is.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without|show|hide)[_-][\w-]+")
 _MAIN_NAMES = re.compile(r"(?:^|\s)(?:articlebody|article-body|article_body|article-content|article__body|post-content|post-body|entry-content|main-content|main)(?:$|\s)")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. No part is read twice: what has no end reaches to the end of the page, or isn't a tag at all.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*+)>", re.S)
 _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Ids of headings and sections in an article are anchors made of their titles; only these, whole, are not.
 _ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
@@ -80,6 +88,8 @@ def _marks(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
             if key == "id" and inside and name in _ANCHORED and not _COMMENTS.fullmatch(value.strip()):
                 continue
             value = _LAYOUT.sub(" ", value)
+            if inside and name in _TEXTUAL:
+                value = _WEAK_NAMES.sub(" ", value)
             away = away or bool(_AWAY_NAMES.search(value)) or not inside and bool(_HEADER_NAMES.search(value))
             main = main or bool(_MAIN_NAMES.search(value))
         elif key == "itemprop":
@@ -109,11 +119,21 @@ def lines_of(page: str) -> list[Line]:
         text.clear()
         linked.clear()
 
+    # Places in open_ by name, and of the elements that aren't inline.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def last(*names: str) -> int:
+        """The place of the innermost open element of one of these names, or -1."""
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
     def close(to: int) -> None:
         nonlocal away, declared, links, muted
         while len(open_) > to:
             name, a, d = open_.pop()
+            places[name].pop()
             if name not in _INLINE:
+                blocks.pop()
                 flush()
                 away -= a
             else:
@@ -136,29 +156,18 @@ def lines_of(page: str) -> list[Line]:
         if not name:
             continue
         if m[1]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    close(i)
-                    break
-            else:
-                if name not in _INLINE:
-                    flush()
+            if (i := last(name)) >= 0:
+                close(i)
+            elif name not in _INLINE:
+                flush()
             continue
         if name in _P_CLOSERS:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == "p":
-                    close(i)
-                    break
-                if open_[i][0] not in _INLINE:
-                    break
+            if blocks and open_[blocks[-1]][0] == "p":
+                close(blocks[-1])
         elif name in ("li", "dt", "dd", "tr", "option"):
-            stop = {"li": ("ul", "ol", "menu"), "tr": ("table",)}.get(name, ("dl", "select"))
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name or name in ("dt", "dd") and open_[i][0] in ("dt", "dd"):
-                    close(i)
-                    break
-                if open_[i][0] in stop:
-                    break
+            i = last("dt", "dd") if name in ("dt", "dd") else last(name)
+            if i > last(*{"li": ("ul", "ol", "menu"), "tr": ("table",)}.get(name, ("dl", "select"))):
+                close(i)
         if name in _SPACE:
             text.append(" ")
         elif name not in _INLINE:
@@ -166,17 +175,19 @@ def lines_of(page: str) -> list[Line]:
         if name in _VOID:
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
         a, d = _marks(name, m[3] or "", declared > 0) if m[3] and m[3] != "/" else (False, False)
         a = a or name in _AWAY and not (name == "header" and declared)
         d = d or name in _DECLARED
-        open_.append((name, a, d))
+        places.setdefault(name, []).append(len(open_))
         if name in _INLINE:
             muted += a
         else:
+            blocks.append(len(open_))
             away += a
+        open_.append((name, a, d))
         declared += d
         links += name == "a"
     close(0)
@@ -184,18 +195,31 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def regions(lengths: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(first, last) lines of the regions between a surge and the dive after it.
+def weights(lines: list[Line]) -> np.ndarray:
+    """What each line adds to the sum of a window."""
+    declared = any(x.declared for x in lines)
 
-    The sum over a window of lines surges at the first line whose window
-    reaches `surge`, and dives at the line after which `window` lines are empty.
+    def weight(x: Line) -> int:
+        if not x.declared if declared else x.linked > LINKS * len(x.text):
+            return AGAINST
+        return len(x.text) + DECLARED if declared else max(1, len(x.text) - x.linked)
+
+    return np.array([weight(x) for x in lines], np.int64)
+
+
+def regions(w: np.ndarray, surge: float = SURGE, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(first, last) lines of the regions between a surge and the dive after it, for weights w.
+
+    The sum over a window surges at the first line that weighs for the article
+    and whose window reaches `surge`, or PEAK_SHARE of the greatest sum if that
+    is less; it dives after the line whose next window has nothing left.
     """
-    padded = np.concatenate([lengths, np.zeros(window, lengths.dtype)])
-    run = np.concatenate([[0], np.cumsum(padded)])
+    run = np.concatenate([[0], np.cumsum(np.concatenate([w, np.zeros(window, w.dtype)]))])
     sums = run[window:] - run[:-window]
-    out, i, n = [], 0, len(lengths)
+    out, i, n = [], 0, len(w)
+    least = max(1, min(surge, PEAK_SHARE * sums.max(initial=0)))
     while i < n:
-        if not (lengths[i] and sums[i] >= surge):
+        if not (w[i] > 0 and sums[i] >= least):
             i += 1
             continue
         j = i
@@ -208,20 +232,9 @@ def regions(lengths: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple
 
 def main_text(page: str | None) -> str:
     """The article of a page, a line for each block; empty for null, empty and article-less pages."""
-    lines = lines_of(page or "")
-    declared = any(x.declared and not x.away for x in lines)
-    spaced: list[Line | None] = []
-    for x in lines:
-        if x.away:
-            continue
-        gone = not x.declared if declared else x.linked > LINKS * len(x.text)
-        # A block of links, or outside the article, stands as a window of empty lines, at which sums dive.
-        spaced += [None] * WINDOW if gone else [x]
-    lengths = np.array([len(x.text) if x else 0 for x in spaced], np.int64)
-    # A page whose text surges nowhere is a short one: all that isn't boilerplate is kept.
-    found = [] if declared else regions(lengths, SURGE)
-    found = found or regions(lengths, SURGE_DECLARED)
-    return "\n".join(x.text for a, b in found for x in spaced[a : b + 1] if x)
+    lines = [x for x in lines_of(page or "") if not x.away]
+    w = weights(lines)
+    return "\n".join(lines[i].text for a, b in regions(w) for i in range(a, b + 1) if w[i] > 0)
 
 
 def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
