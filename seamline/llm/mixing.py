@@ -1,11 +1,13 @@
 """A mix of sources at target weights.
 
 The words of each source, document after document, are packed into blocks of
-one length. The mix has as many slots as the targets ask for; a pseudorandom
-permutation deals them to output shards, so that a shard's counts by source are
-a multinomial draw given the totals. A slot's number within its source goes
-through another permutation of that source's blocks, a new one for each
-repetition, and the block of that index is joined to it.
+one length. The mix has as many slots as the targets ask for, dealt to output
+shards of one size. How many of a shard's slots each source has is a multinomial
+draw by the targets; what the draws of all shards give a source beyond its
+quota goes, slot by slot, to sources that they left short. Slots are numbered
+within their source, shard after shard; the number goes through a pseudorandom
+permutation of that source's blocks, a new one for each repetition, and the
+block of that index is joined to it.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import re
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamline.llm.common import Apart, checkpointed, text_rows
@@ -29,9 +32,10 @@ MOST = 2
 BLOCK = 128
 SHARD_SLOTS = 4096
 CHUNK_ROWS = 4000
-#: Slots that one row stands for until they are dealt to tasks.
-_RUN = 2048
-TASK_SLOTS = 64 * _RUN
+#: Slots that one task makes; draws that one task makes; shards whose draws are added up together.
+TASK_SLOTS = 1 << 17
+TASK_DRAWS = 1 << 17
+SHARD_GROUP = 1024
 ROUNDS = 12
 SEED = 20
 
@@ -67,8 +71,8 @@ def targets(sources: DataFrame, total: float = TOTAL, most: float = MOST) -> Dat
     the first that doesn't stop at the level left for the rest have stopped.
     A row for each source: the windows here hold no documents.
     """
-    ranked = sources.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("_rank") - 1) % len(WEIGHTS)) + 1)
+    ranked = sources.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())).cast("long"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (((F.col("_rank") - 1) % len(WEIGHTS)) + 1).cast("int"))
     sized = ranked.withColumn("_weight", weight).withColumns({"_cap": F.col("_size").cast("double") * most, "_stop": F.col("_size") * float(most) / F.col("_weight")})
     up = Window.orderBy("_stop", "_rank")
     before = up.rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +90,7 @@ def targets(sources: DataFrame, total: float = TOTAL, most: float = MOST) -> Dat
 
 
 def quotas(aimed: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """targets() with `_blocks`, `_slots`, `_first` (slots of sources before) and `_trim`.
+    """targets() with `_blocks`, `_slots` and `_trim`.
 
     Whole repetitions come first, then as many blocks as reach the target; the
     last slot leaves out its last `_trim` words, so a source's taken words are
@@ -104,32 +108,82 @@ def quotas(aimed: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     a = a.withColumn("_r", F.col("_r0") + lacking.cast("long"))
     got = F.col("_r") * block - F.when(F.col("_short_at") < F.col("_r"), F.col("_lack")).otherwise(0)
     a = a.withColumns({"_trim": got - F.col("_rest"), "_slots": F.col("_full") * F.col("_blocks") + F.col("_r")})
-    first = F.coalesce(F.sum("_slots").over(Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    every = F.sum("_slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return a.select("_source", "_size", "_rank", "_weight", "_target", "_blocks", "_slots", "_trim", first.alias("_first"), every.alias("_all"))
+    return a.select("_source", "_size", "_rank", "_weight", "_target", "_blocks", "_slots", "_trim")
+
+
+def draws(spark: SparkSession, wanted: list[tuple[int, int]], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(_shard, _rank, _count): the multinomial draw of each output shard's slots by source, without zeros.
+
+    wanted: (rank, slots) of each source. All shards but the last have shard_slots slots.
+    A shard's draw depends on its number and the seed alone.
+    """
+    total = sum(n for _, n in wanted)
+    shards = -(-total // shard_slots)
+    ranks = np.array([r for r, _ in wanted], np.int64)
+    share = np.array([n for _, n in wanted], np.float64) / max(1, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h in b.column(0).to_pylist():
+                generator = np.random.Generator(np.random.Philox(key=np.array([seed, h], np.uint64)))
+                got = generator.multinomial(min(shard_slots, total - h * shard_slots), share)
+                at = np.nonzero(got)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h)), pa.array(ranks[at]), pa.array(got[at])], names=["_shard", "_rank", "_count"])
+
+    tasks = max(1, -(-shards * min(len(wanted), shard_slots) // TASK_DRAWS))
+    return spark.range(0, shards, 1, tasks).mapInArrow(run, "_shard long, _rank long, _count long")
 
 
 def slots(q: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """A row for each slot of the mix: (_rank, _block, _round, _take, _shard, _place).
 
-    _take: the words that the slot takes from the start of its block. Runs of
-    slots are dealt to tasks before they become rows, so that a large source is
-    no single task's; the number of tasks follows from that of the slots, as
-    the few bytes of the runs say nothing of it.
+    _take: the words that the slot takes from the start of its block. A number
+    for each source reaches the driver. A shard's draws are dealt to tasks
+    before they become rows, so that a large source is no single task's; the
+    number of tasks follows from that of the slots.
     """
-    total = q.agg(F.coalesce(F.max("_all"), F.lit(0))).first()[0]
-    runs = q.where(F.col("_slots") > 0).select("_rank", "_size", "_blocks", "_slots", "_trim", "_first", "_all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, F.lit(_RUN).cast("long"))).alias("_from"))
-    dealt = runs.repartition(max(1, -(-total // TASK_SLOTS)), "_rank", "_from")
-    one = dealt.select("*", F.explode(F.sequence("_from", F.least(F.col("_from") + _RUN, F.col("_slots")) - 1)).alias("_j"))
-    turn = F.floor(F.col("_j") / F.col("_blocks")).cast("long")
-    got = one.withColumn("_round", turn).withColumns(
+    wanted = [(r["_rank"], r["_slots"]) for r in q.where(F.col("_slots") > 0).orderBy("_rank").select("_rank", "_slots").collect()]
+    total = sum(n for _, n in wanted)
+    got = checkpointed(draws(q.sparkSession, wanted, shard_slots, seed)).withColumn("_group", F.floor(F.col("_shard") / SHARD_GROUP))
+    # Slots of a source are numbered shard after shard: sums of groups of shards, and sums within a group.
+    sums = got.groupBy("_rank", "_group").agg(F.sum("_count").alias("_sum"))
+    past = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.select("_rank", "_group", past("_sum", Window.partitionBy("_rank").orderBy("_group")).alias("_start"))
+    numbered = got.withColumns(
+        {
+            "_from": past("_count", Window.partitionBy("_rank", "_group").orderBy("_shard")),
+            "_inner": past("_count", Window.partitionBy("_shard").orderBy("_rank")),
+        }
+    ).join(groups, ["_rank", "_group"])
+    # What a source was drawn beyond its quota, and what it lacks: equal sums, numbered by source.
+    drawn = q.select("_rank", "_size", "_blocks", "_slots", "_trim").join(sums.groupBy("_rank").agg(F.sum("_sum").alias("_drawn")), "_rank", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
+    drawn = drawn.withColumns({"_over": F.greatest(F.col("_drawn") - F.col("_slots"), F.lit(0)), "_lack": F.greatest(F.col("_slots") - F.col("_drawn"), F.lit(0))})
+    by = Window.orderBy("_rank")
+    drawn = checkpointed(drawn.withColumns({"_over_from": past("_over", by), "_lack_from": past("_lack", by)}))
+    source = ["_rank", "_size", "_blocks", "_slots", "_trim"]
+    runs = numbered.join(drawn, "_rank").select(*source, "_shard", "_count", "_inner", (F.col("_from") + F.col("_start")).alias("_from"), "_over_from")
+    dealt = checkpointed(runs).repartition(max(1, -(-total // TASK_SLOTS)), "_rank", "_shard")
+    end = F.col("_from") + F.col("_count")
+
+    def each(first: Column, last: Column) -> Column:
+        return F.explode(F.when(first <= last, F.sequence(first, last))).alias("_j")
+
+    kept = dealt.select(*source, "_shard", "_inner", "_from", each(F.col("_from"), F.least(end, F.col("_slots")) - 1))
+    over = dealt.where(end > F.col("_slots")).select("_shard", "_inner", "_from", "_slots", "_over_from", each(F.greatest("_from", "_slots"), end - 1))
+    over = over.select("_shard", "_inner", "_from", F.col("_j").alias("_o"), (F.col("_over_from") + F.col("_j") - F.col("_slots")).alias("_x"))
+    lacking = drawn.where(F.col("_lack") > 0).select(*source, "_drawn", "_lack_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lack") - 1)).alias("_i"))
+    lacking = lacking.select(*source, (F.col("_drawn") + F.col("_i")).alias("_j"), (F.col("_lack_from") + F.col("_i")).alias("_x"))
+    moved = over.join(lacking, "_x").select(*source, "_shard", (F.col("_inner") + F.col("_o") - F.col("_from")).alias("_in"), "_j")
+    one = kept.select(*source, "_shard", (F.col("_inner") + F.col("_j") - F.col("_from")).alias("_in"), "_j").unionByName(moved)
+    one = one.withColumn("_round", F.floor(F.col("_j") / F.col("_blocks")).cast("long"))
+    made = one.withColumns(
         {
             "_block": permuted(F.pmod("_j", "_blocks"), F.col("_blocks"), [F.lit(seed), F.col("_rank"), F.col("_round")]),
-            "_slot": permuted(F.col("_first") + F.col("_j"), F.col("_all"), [F.lit(seed), F.lit("shards")], inverse=True),
+            "_place": permuted(F.col("_in"), F.least(F.lit(shard_slots), F.lit(total) - F.col("_shard") * shard_slots).cast("long"), [F.lit(seed), F.lit("place"), F.col("_shard")]),
         }
     )
     take = F.least(F.lit(block).cast("long"), F.col("_size") - F.col("_block") * block) - F.when(F.col("_j") == F.col("_slots") - 1, F.col("_trim")).otherwise(0)
-    return got.select("_rank", "_block", "_round", take.alias("_take"), F.floor(F.col("_slot") / shard_slots).cast("long").alias("_shard"), F.pmod("_slot", F.lit(shard_slots)).alias("_place"))
+    return made.select("_rank", "_block", "_round", take.alias("_take"), "_shard", "_place")
 
 
 def _placed(docs: DataFrame, text: str, doc_id: str, source: str) -> tuple[DataFrame, DataFrame]:
@@ -173,13 +227,14 @@ def _taken(placed: DataFrame, q: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken), a row for each row of docs.
+    """(doc_id, size, source_size, target, taken, n_slots, first_shard), a row for each row of docs.
 
     Sources weigh WEIGHTS by code point order, null (a source of its own)
     last, and share TOTAL of all words; no target is above MOST times its
     source's words. taken counts the words of the document that the mix
-    takes, repetitions included: never over MOST times its size. Reruns and
-    other partitionings agree.
+    takes, repetitions included: never over MOST times its size. n_slots counts
+    the slots that hold words of it, first_shard is the least output shard of
+    those (null if there are none). Reruns and other partitionings agree.
 
     Null, empty and blank texts have size 0 and none is taken; if all have,
     targets are 0. Rows that are equal take by turns. No rows: no rows.
@@ -187,10 +242,10 @@ def mix_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sour
     placed, q = _placed(docs, text, doc_id, source)
     placed = checkpointed(placed)
     keys = ["_rank", "_at", "_size"]
-    taken = _taken(placed, q).groupBy(*keys).agg(F.sum("_n").alias("_sum"))
+    taken = _taken(placed, q).groupBy(*keys).agg(F.sum("_n").alias("_sum"), F.count("_n").alias("_held"), F.min("_shard").alias("_in"))
     # Documents of one source start at different words unless they are empty.
     out = placed.join(taken.where(F.col("_size") > 0), keys, "left")
-    return out.select(F.col("_id").alias(doc_id), F.col("_size").alias("size"), F.col("_all_words").alias("source_size"), F.col("_target").alias("target"), F.coalesce("_sum", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("_id").alias(doc_id), F.col("_size").alias("size"), F.col("_all_words").alias("source_size"), F.col("_target").alias("target"), F.coalesce("_sum", F.lit(0)).cast("long").alias("taken"), F.coalesce("_held", F.lit(0)).alias("n_slots"), F.col("_in").alias("first_shard"))
 
 
 def mixed_blocks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:

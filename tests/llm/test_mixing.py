@@ -97,6 +97,33 @@ def test_blocks_and_shards(spark):
     assert {i: n for i, n in counts.items() if n} == dict(got)
 
 
+def test_shards_are_drawn(spark):
+    wanted = [(1, 500), (2, 37), (5, 200), (9, 1)]
+    got = defaultdict(dict)
+    for r in mixing.draws(spark, wanted, 64).collect():
+        got[r["_shard"]][r["_rank"]] = r["_count"]
+    assert [sum(got[h].values()) for h in range(12)] == [64] * 11 + [34] and len({tuple(sorted(x.items())) for x in got.values()}) > 8
+    drawn = {r: sum(x.get(r, 0) for x in got.values()) for r, _ in wanted}
+    assert drawn != dict(wanted) and all(abs(drawn[r] - n) <= 4 * n**0.5 + 4 for r, n in wanted)
+    assert all(x == mixing_draw for x, mixing_draw in zip(got.values(), ({r["_rank"]: r["_count"] for r in mixing.draws(spark, wanted, 64).where(f"_shard = {h}").collect()} for h in got), strict=True))
+    rows = [(r, n * 10, n // 2 + 1, n, 0) for r, n in wanted]
+    q = spark.createDataFrame(rows, "_rank long, _size long, _blocks long, _slots long, _trim long")
+    made = mixing.slots(q, 10, 64).collect()
+    by, count = defaultdict(list), defaultdict(lambda: defaultdict(int))
+    for r in made:
+        by[r["_shard"]].append(r["_place"])
+        count[r["_shard"]][r["_rank"]] += 1
+    # A shard is filled place by place; its counts are its draw but for what moved to sources left short.
+    assert all(sorted(p) == list(range(64 if h < 11 else 34)) for h, p in by.items()) and len(by) == 12
+    assert {r: sum(c[r] for c in count.values()) for r, _ in wanted} == dict(wanted)
+    moved = sum(max(0, drawn[r] - n) for r, n in wanted)
+    assert sum(max(0, got[h].get(r, 0) - count[h][r]) for h in by for r, _ in wanted) == moved
+    turns = defaultdict(list)
+    for r in made:
+        turns[r["_rank"], r["_round"]].append(r["_block"])
+    assert all(len(set(b)) == len(b) for b in turns.values())
+
+
 def test_documents(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(f"{i}-{k}" for k in range(rng.randint(0, 300))), "en", f"s{i % 4}") for i in range(120)]
