@@ -189,38 +189,60 @@ def features(media: bytes) -> tuple[bytes, Features]:
     return samples, Features(mel, segments(mel))
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
+#: Rows that one batch from Python holds at most.
+_ROWS = 128
 
 
-def audio_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_media: bool = True) -> DataFrame:
-    """doc_id and the audio form of each row's text.
+def stored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, media): each row's text as a WAVE file, and its length in bytes without padding."""
 
-    n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes)
-    come from the samples read back, media_bytes and media_sha256 from the
-    stored form, feature is a digest of the features. with_media adds media
-    (WAVE file), tensors (Arrow stream of fixed-shape tensors with their time
-    spans) and spans (segments of sound, in seconds).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, _ROWS):
+                part = b.slice(i, _ROWS)
+                texts = [t or b"" for t in part.column(1).to_pylist()]
+                media = [encode_wav(payload(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    Null texts are empty; an empty text is MULTIPLE spaces. Equal texts give
-    equal values, whatever rows are beside them. Other columns are left out.
-    """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media", "tensors", "spans"] if with_media else [])]
+    src = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("_text"))
+    return text_rows(src).mapInArrow(run, src.select("doc_id").schema.add("n_bytes", "long").add("media", "binary"))
 
-    def one(text: bytes) -> tuple:
-        media = encode_wav(payload(text))
-        samples, f = features(media)
-        row = (len(text), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), f.digest())
-        return (*row, media, f.tensors(), [{"start": a, "end": b} for a, b in f.spans()]) if with_media else row
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))]
+def read_back(media: DataFrame) -> DataFrame:
+    """stored() with what its media hold: see audio_columns()."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tensors", "spans"]
+    span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(span)]
+
+    def one(file: bytes) -> tuple:
+        samples, f = features(file)
+        spans = [{"start": a, "end": b} for a, b in f.spans()]
+        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(file), hashlib.sha256(file).hexdigest(), f.digest(), file, f.tensors(), spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                rows = [one(t or b"") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], types[k]) for k in range(len(names) - 1)]], names=names)
+            for i in range(0, b.num_rows, _ROWS):
+                part = b.slice(i, _ROWS)
+                rows = [one(m) for m in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names=names)
 
-    src = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("_text"))
-    kinds = [T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.BinaryType(), T.BinaryType(), _SPANS]
-    return text_rows(src).mapInArrow(run, T.StructType([src.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=False)]]))
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
+    kinds = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.BinaryType(), T.BinaryType(), spans]
+    fields = [T.StructField(n, k) for n, k in zip(names[2:], kinds, strict=True)]
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, T.StructType([*media.select("doc_id", "n_bytes").schema.fields, *fields]))
+
+
+def audio_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and the audio form of each row's text.
+
+    The text is stored as a column of WAVE files, and all else is read back
+    from that column: n_bytes (the text's), payload_bytes, payload_sha256 and
+    tail_crc32 (of the last 16 bytes) from its samples, media_bytes and
+    media_sha256 from the stored form, feature, a digest of the features, the
+    media themselves, tensors (an Arrow stream of fixed-shape tensors with
+    their time spans) and spans (segments of sound, in seconds).
+
+    Null texts are empty; an empty text is MULTIPLE spaces. Equal texts give
+    equal values, whatever rows are beside them. Other columns are left out.
+    """
+    return read_back(stored(docs, text, doc_id))

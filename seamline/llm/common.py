@@ -17,12 +17,16 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) a temporary folder is made.
+    Only a session on one machine that names none gets a temporary folder.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="seamline-")
+        named = sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="seamline-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -46,20 +50,22 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of texts that go to Python at once, at most.
+#: Rows of texts, and their bytes, that go to Python at once, at most.
 TEXT_ROWS = 500
+TEXT_BYTES = 16 << 20
 
 
 def text_rows(df: DataFrame) -> DataFrame:
-    """df, for a function in Python: from now on its session sends TEXT_ROWS rows at once, or fewer if it did before.
+    """df, for a function in Python: from now on its session sends TEXT_ROWS rows or TEXT_BYTES at once, or less if it did before.
 
-    Texts may be long, and the default of 10,000 rows has no bound in bytes that fits a worker.
+    Texts may be long, and the defaults have no bound that fits several workers.
+    The setting is read when a query is run, so it can't be put back here.
     """
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(key, "10000"))
-    if not 0 < now <= TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        now = (conf.get(key) or "").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -73,7 +79,8 @@ class Apart:
 
     `df` has the columns; at() gives the name that one has there, and back()
     the table with its own names, in its order, followed by new columns. A
-    column that has the name of a new one (in any case) is replaced.
+    column that has the name of a new one (in any case) is replaced, one that
+    was dropped is left out.
     """
 
     def __init__(self, table: DataFrame):
@@ -85,7 +92,7 @@ class Apart:
 
     def back(self, out: DataFrame, **new: Column) -> DataFrame:
         taken = {n.lower() for n in new}
-        kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
+        kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken and f"c{i}" in out.columns]
         return out.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 

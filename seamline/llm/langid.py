@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamline.llm.common import Apart, checkpointed, small, text_rows
+from seamline.llm.common import Apart, checkpointed, scratch, small, text_rows
 
 #: Each language's trigram model is fitted on about so many documents that declare it, or on all if they are
 #: fewer, chosen by a hash of the id.
@@ -178,7 +178,7 @@ def host_priors(scored: DataFrame, languages: Sequence[str]) -> DataFrame:
     return hosts.join(by_suffix, "_suffix").select("_host", smoothed(F.col("_s"), HOST_WEIGHT).alias("_p"))
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", key: str = "doc_id", min_confidence: float = MIN_CONFIDENCE, model: Model | None = None) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", key: str = "doc_id", min_confidence: float = MIN_CONFIDENCE, model: Model | None = None, with_text: bool = True) -> DataFrame:
     """docs with `language` (string), `confidence` (double) and `accepted` (boolean) appended.
 
     accepted: the text has letters, its best language explains them better
@@ -191,16 +191,22 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", addres
     are no evidence; null addresses share the host ''. Equal scores go to the
     first language in alphabetical order. If no row declares a language,
     language is null and nothing is accepted. Repeated rows get equal values;
-    columns of the three names are replaced.
+    columns of the three names are replaced. Without with_text the text column
+    is left out, and texts are read once: their likelihoods are written to the
+    shared folder, from which the priors and the result are read.
     """
     a = Apart(docs)
     text, declared, address, key = a.at(text), a.at(declared), a.at(address), a.at(key)
     model = model or fit(a.df, text, declared, key)
     langs, k = model.languages, len(model.languages)
     if not k:
-        return a.back(a.df, language=F.lit(None).cast("string"), confidence=F.lit(None).cast("double"), accepted=F.lit(False))
+        return a.back(a.df if with_text else checkpointed(a.df.drop(text)), language=F.lit(None).cast("string"), confidence=F.lit(None).cast("double"), accepted=F.lit(False))
     host = host_of(F.col(address))
     scored = with_likelihoods(a.df.withColumns({"_host": host, "_tag": primary(F.col(declared))}), text, model).withColumn("_suffix", suffix_of(F.col("_host")))
+    if not with_text:
+        at = scratch(docs.sparkSession, "likelihoods")
+        scored.drop(text).write.parquet(at)
+        scored = docs.sparkSession.read.parquet(at)
     # Few hosts are broadcast, and texts stay where they are; many are joined by host.
     priors = small(host_priors(scored.select("_host", "_suffix", "_ll", "_grams"), langs))
     stands = F.create_map(*[F.lit(x) for pair in sorted(COUNTRY_LANGUAGE.items()) for x in pair])[F.col("_suffix")]

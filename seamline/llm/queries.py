@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import audio, html_text, langid, line_dedup, mixing, order_minhash, packing, quality, sharding, simhash
-from seamline.llm.common import table
+from seamline.llm.common import remove, scratch, table
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False)
+    got = audio.audio_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(*got.columns[:8], F.sha2("tensors", 256).alias("tensors_sha256"), F.size("spans").alias("n_spans"))
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +53,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return langid.identify(docs).select("doc_id", F.col("lang").alias("declared"), "language", "confidence", "accepted")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    told = pages.withColumns({"declared": langid.declared_in_markup(F.col("html")), "host": langid.host_of(F.col("url"))})
+    # The texts are read several times: once to fit and once to score.
+    at = scratch(spark, "main-texts")
+    html_text.extract(told).drop("html", "n_chars", "url").write.parquet(at)
+    out = langid.identify(spark.read.parquet(at), declared="declared", address="host", key="page_id", with_text=False)
+    remove(spark, at)
+    return out.select("page_id", "host", "declared", "language", "confidence", "accepted")
 
 
 QUERIES = {

@@ -102,4 +102,6 @@ def test_odd_rows(spark):
 
 def test_query_equal_texts(spark, sf):
     rows = queries.op6_audio_columns(spark, sf).collect()
+    for r in rows[:20]:
+        assert len(r["tensors_sha256"]) == 64 and f"segments={r['n_spans']};" in r["feature"]
     assert len({r["payload_sha256"] for r in rows}) == len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in rows}) < len(rows)

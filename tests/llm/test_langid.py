@@ -85,8 +85,19 @@ def test_odd_rows(spark):
 
 
 def test_accuracy(spark, sf):
-    got = queries.op10_language_id(spark, sf).collect()
-    assert sum(r["declared"] == r["language"] for r in got) >= 0.98 * len(got) and sum(r["accepted"] for r in got) >= 0.98 * len(got)
+    got = queries.op10_language_id(spark, sf)
+    assert got.columns == ["page_id", "host", "declared", "language", "confidence", "accepted"]
+    rows = got.collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count() and all(r["host"] and r["declared"] for r in rows)
+    assert sum(r["declared"] == r["language"] for r in rows) >= 0.97 * len(rows) and sum(r["accepted"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_without_text(spark):
+    rows = [(i, EN, "en", "http://a.uk/x") for i in range(20)] + [(50 + i, DE, "de", "b.de") for i in range(20)]
+    whole = langid.identify(docs(spark, rows))
+    less = langid.identify(docs(spark, rows), with_text=False)
+    assert less.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(map(tuple, less.collect())) == sorted(map(tuple, whole.drop("text").collect()))
 
 
 def test_every_declared_language_has_a_model(spark):
