@@ -16,16 +16,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamline.llm.common import checkpointed
+
 #: Words in a k-mer, bins, and k-mers selected in each.
 WIDTH = 5
 BINS = 32
-#: Places of k-mers take the low bits of a long beside a hash; a text has at most 2**26 words.
+#: Places of k-mers take the low bits of a long beside a hash; k-mers from the last place on share it.
 _PLACE_BITS = 26
 _PLACE = (1 << _PLACE_BITS) - 1
 _BIN_BITS = 5
-#: Rows that one task orders, about.
-BUCKET_ROWS = 5000
-MAX_BUCKETS = 20_000
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -93,7 +92,7 @@ def signature(text: Column, width: int = WIDTH) -> Column:
 
     def kmers(w: Column) -> Column:
         whole = F.array(_placed(F.xxhash64(w), F.lit(0)))
-        each = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: _placed(F.xxhash64(*[F.get(w, i + k) for k in range(width)]), i))
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: _placed(F.xxhash64(*[F.get(w, i + k) for k in range(width)]), F.least(i, F.lit(_PLACE))))
         return F.when(F.size(w) <= width, whole).otherwise(each)
 
     def sign(w: Column) -> Column:
@@ -115,68 +114,65 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / total)
 
 
-def _search(boundaries: list[int], x: Column) -> Column:
-    """How many of the ascending boundaries are at most x, by two steps of a coarse and a fine list."""
-    if not boundaries:
-        return F.lit(0)
-    step = max(1, round(len(boundaries) ** 0.5))
-    listed = lambda v: F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>")
-    fine = F.split(F.lit(";".join(",".join(map(str, boundaries[i : i + step])) for i in range(0, len(boundaries), step))), ";")
-    coarse = F.size(F.filter(listed(boundaries[::step]), lambda c: c <= x))
-    last = F.split(F.get(fine, coarse - 1), ",").cast("array<bigint>")
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(last, lambda c: c <= x)))
+_KEY = ["_k1", "_k2", "_th"]
 
 
-def with_next(docs: DataFrame, order: str, ties: str, carried: list[str]) -> DataFrame:
-    """docs with `_next_<c>` for each carried column: its value in the next row by order, then ties; after the last, the first.
+def previous(ids: DataFrame) -> DataFrame:
+    """ids(_k1, _k2, _th, _id, _half), a row for each document, with `_to` (_k1, _k2, _th, _half) of the one before by id, then _th.
 
-    Rows go to buckets between boundaries that are values of `order`, so the
-    row at each boundary is also sent, as a mark, to the bucket before it, and
-    the first row to the last bucket. Only the boundaries reach the driver.
-    Nulls come first.
+    Before the first comes the last; nulls come first. Rows are ordered within
+    ranges of ids; only the last row of each range is seen by all tasks.
     """
-    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least"), F.count_if(F.col(order).isNull()).alias("nulls")).first()
-    buckets = max(1, min(MAX_BUCKETS, -(-ids["n"] // BUCKET_ROWS)))
-    boundaries: list[int] = []
-    if buckets > 1:
-        shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        got = docs.agg(F.percentile_approx(order, shares, 10 * max(1000, buckets)).alias("p")).first()["p"]
-        boundaries = sorted({x for x in got or [] if x is not None})
-    own = F.when(F.col(order).isNull(), 0).otherwise(_search(boundaries, F.col(order)))
-    at_boundary = F.array_contains(F.split(F.lit(",".join(map(str, boundaries)) or "x"), ","), F.col(order).cast("string"))
-    first = F.col(order).isNull() if ids["nulls"] else F.col(order) == F.lit(ids["least"])
-    kinds = F.array(
-        F.struct(own.alias("b"), F.lit(0).alias("k")),
-        F.when(at_boundary, F.struct((own - 1).alias("b"), F.lit(1).alias("k"))),
-        F.when(first, F.struct(F.lit(len(boundaries)).alias("b"), F.lit(2).alias("k"))),
-    )
-    spread = docs.select("*", F.explode(kinds).alias("_to")).where(F.col("_to").isNotNull()).select(*docs.columns, F.col("_to.b").alias("_b"), F.col("_to.k").alias("_k"))
-    w = Window.partitionBy("_b").orderBy("_k", F.col(order).asc_nulls_first(), ties)
-    return spread.select("*", *[F.lead(c).over(w).alias(f"_next_{c}") for c in carried]).where(F.col("_k") == 0).drop("_b", "_k")
+    ranged = checkpointed(ids.repartitionByRange(F.col("_id").asc_nulls_first(), "_th").withColumn("_range", F.spark_partition_id()))
+    own = F.struct(*_KEY, "_half")
+    ends = ranged.groupBy("_range").agg(F.max(F.struct("_id", "_th", own.alias("_own"))).alias("_last"))
+    whole = Window.orderBy("_range")
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("_last._own").over(whole), F.last("_last._own").over(every))
+    # As many rows as there are ranges, which the number of shuffle partitions bounds.
+    ends = F.broadcast(ends.select(F.col("_range").alias("_r"), before.alias("_before")))
+    within = Window.partitionBy("_range").orderBy(F.col("_id").asc_nulls_first(), "_th")
+    lagged = ranged.withColumn("_lag", F.lag(own).over(within)).join(ends, F.col("_range") == F.col("_r"))
+    return lagged.select(*_KEY, F.coalesce("_lag", "_before").alias("_to"))
 
 
 def edit_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """Each document's fingerprint beside that of an edited text and its likeness to that and to the next document's.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. The edited text has its last floor(n_chars / 2)
+    near_edited, near_next, next_doc_id. The edited text has its last floor(n_chars / 2)
     code points replaced by the first as many (or all) of the next document by
     id; after the last comes the first.
 
+    The order is found on ids alone; then each document is sent to the one
+    before it, cut to what that takes of it.
+
     Null texts are empty: they have an empty fingerprint, and two of them are
     alike (1). Texts of fewer than `width` words are one k-mer. Equal texts
-    have equal fingerprints. Null ids come first, and rows that repeat an id
-    are ordered by text. A single row is its own next. No rows: no rows.
+    have equal fingerprints. Null ids come first; rows that repeat an id are
+    ordered by a hash of their texts, and rows that repeat both are one
+    document, with one next. A single document is its own next. Ids are of any
+    type that has an order; they are told apart by 128 bits of hash. No rows:
+    no rows.
     """
-    named = docs.select(docs[f"`{doc_id}`"].alias("_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("_text"))
-    signed = named.withColumn("_sig", signature(F.col("_text"), width))
-    paired = with_next(signed, "_id", "_text", ["_text", "_sig"])
+    text_of = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    id_of = docs[f"`{doc_id}`"]
+    keys = [F.xxhash64(id_of.isNull(), id_of).alias("_k1"), F.xxhash64(F.lit(1), id_of).alias("_k2"), F.xxhash64(text_of).alias("_th")]
+    half = F.floor(F.length("_text") / 2).cast("int")
+    ids = docs.select(*keys, id_of.alias("_id"), text_of.alias("_text")).groupBy(*_KEY).agg(F.first("_id").alias("_id"), F.max(half).alias("_half"))
+    found = checkpointed(previous(ids)).hint("merge")
+    # Both uses read one shuffle: they need the same columns of it.
+    signed = docs.select(*keys, id_of.alias("_id"), text_of.alias("_text"), signature(text_of, width).alias("_sig")).join(found, _KEY)
+    copy = F.row_number().over(Window.partitionBy(*_KEY).orderBy(*_KEY))
+    sent = signed.withColumn("_copy", copy).where("_copy = 1").select(
+        *[F.col(f"_to.{k}").alias(k) for k in _KEY], F.col("_id").alias("_nid"), F.substring(F.col("_text"), F.lit(1), F.col("_to._half")).alias("_part"), F.col("_sig").alias("_nsig")
+    )
+    paired = signed.drop("_to").join(sent.hint("merge"), _KEY)
     n = F.length("_text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next__text"), F.lit(1), half))
-    made = paired.select("_id", n.cast("long").alias("_n"), "_sig", F.col("_next__sig").alias("_nsig"), _let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signature(e, width).alias("sig"))).alias("_e"))
+    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), "_part")
+    made = paired.select("_id", "_nid", n.cast("long").alias("_n"), "_sig", "_nsig", _let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signature(e, width).alias("sig"))).alias("_e"))
     # A generator keeps the plan from computing the edited signature once for each use.
-    once = made.select("_id", "_n", "_sig", "_nsig", F.explode(F.array("_e")).alias("_e"))
+    once = made.select("_id", "_nid", "_n", "_sig", "_nsig", F.explode(F.array("_e")).alias("_e"))
     return once.select(
         F.col("_id").alias(doc_id),
         F.col("_n").alias("n_chars"),
@@ -185,4 +181,5 @@ def edit_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         as_string(F.col("_e.sig")).alias("edited_fingerprint"),
         likeness(F.col("_sig"), F.col("_e.sig")).alias("near_edited"),
         likeness(F.col("_sig"), F.col("_nsig")).alias("near_next"),
+        F.col("_nid").alias("next_doc_id"),
     )

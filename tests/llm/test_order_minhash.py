@@ -44,15 +44,19 @@ def read(fingerprint):
 
 
 def check(spark, rows):
-    got = om.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kind = "string" if any(isinstance(i, str) for i, _ in rows) else "long"
+    got = om.edit_fingerprints(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
     assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    # Rows that repeat an id are ordered by a hash of their texts; rows that repeat both are one document.
+    place = lambda r: (r[0] is not None, r[0] or type(rows[0][0])(), h((r[1] or "").encode()))
+    order = sorted({place(r): r for r in rows}.values(), key=place)
+    at = {place(r): k for k, r in enumerate(order)}
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
     want = []
-    for k, (i, text) in enumerate(order):
-        t, nxt = text or "", order[(k + 1) % len(order)][1] or ""
+    for i, text in rows:
+        t, nxt = text or "", order[(at[place((i, text))] + 1) % len(order)][1] or ""
         n = len(t)
         edited = t[: n - n // 2] + nxt[: n // 2]
         a, b, c = brute(t), brute(edited), brute(nxt)
@@ -69,11 +73,12 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
-def test_buckets_meet(spark, monkeypatch):
-    monkeypatch.setattr(om, "BUCKET_ROWS", 7)
+def test_ranges_meet(spark):
     rng = random.Random(7)
-    rows = [(rng.randrange(200) if k % 9 else None, f"t{k} " * rng.randint(0, 12)) for k in range(90)]
-    check(spark, rows)
+    check(spark, [(rng.randrange(200) if k % 9 else None, f"t{k} " * rng.randint(0, 12)) for k in range(90)])
+    check(spark, [(f"d{k * 37 % 101:03d}", f"t{k} " * rng.randint(0, 12)) for k in range(101)])
+    ids = spark.range(6000).selectExpr("id as _k1", "id as _k2", "id as _th", "concat('d', lpad(id, 6, '0')) as _id", "1 as _half")
+    assert {r["_k1"]: r["_to"]["_k1"] for r in om.previous(ids).collect()} == {k: (k - 1) % 6000 for k in range(6000)}
 
 
 def test_order_matters(spark):
@@ -96,3 +101,11 @@ def test_odd_rows(spark):
 def test_plan_is_native(spark, sf):
     plan = queries.op8_order_minhash(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "SinglePartition" not in plan
+
+
+def test_texts_cross_once(spark, sf):
+    got = queries.op8_order_minhash(spark, sf)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # One shuffle of texts with their signatures, read twice, and one of what is sent to the document before.
+    assert plan.count("ReusedExchange") >= 1
