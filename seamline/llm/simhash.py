@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamline.llm.common import Apart, checkpointed, remove, scratch, text_rows
+from seamline.llm.common import Apart, checkpointed, remove, scratch, small, text_rows
 from seamline.llm.components import connected_components, extended
 
 SEED = 42
@@ -171,12 +171,11 @@ def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.select(F.col("node").alias("_of"), "component"), F.col("_node") == F.col("_of"), "left").withColumn("_component", F.coalesce("component", "_node")).drop("_of", "component")
 
 
-def near_links(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
-    """(_a, _b) links and (node, component) components: some of close_pairs() that join the same points as all of them do.
+def near_stars(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """(_a, _b) pairs of close_pairs(), and what they come from: the entries of points in cells that several nodes enter.
 
     Every point of a cell is held against the cell's least and greatest node
-    first, which joins a close group by a link or two a point. Pairs are only
-    sought between points that this leaves in different components.
+    only, which joins a close group by a link or two a point.
     """
     if max_bits > 2:
         raise ValueError("unit cells reach a Manhattan distance of 2")
@@ -188,9 +187,18 @@ def near_links(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits:
         hubs = shared.where(F.col("_node") == F.col(end)).select(*keys, F.col("_value").alias("_hub"))
         met = shared.join(hubs, keys).where((F.col("_node") != F.col(end)) & near)
         stars.append(met.select(F.least("_node", end).alias("_a"), F.greatest("_node", end).alias("_b")))
-    star = checkpointed(stars[0].unionByName(stars[1]).distinct())
+    return checkpointed(stars[0].unionByName(stars[1]).distinct()), shared.drop("_low", "_high")
+
+
+def near_links(points: DataFrame, bits: int, segments: int = SEGMENTS, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """(_a, _b) links and (node, component) components: some of close_pairs() that join the same points as all of them do.
+
+    Beyond near_stars(), pairs are only sought between points that those leave
+    in different components.
+    """
+    star, shared = near_stars(points, bits, segments, max_bits)
     found = connected_components(star, "_a", "_b")
-    left = checkpointed(_divided(_placed(shared.drop("_low", "_high"), found), keys, "_component"))
+    left = checkpointed(_divided(_placed(shared, found), ["_block", "_cell"], "_component"))
     rest = checkpointed(_pairs_within(left, max_bits, "_component"))
     return star.unionByName(rest), extended(found, rest, "_a", "_b")
 
@@ -273,10 +281,18 @@ def set_prints(docs: DataFrame, width: int, least: float, common: tuple[np.ndarr
     return text_rows(src).mapInArrow(run, schema)
 
 
-def _possible(least: float) -> Column:
+def _alike(least: float) -> Column:
+    return F.least("_m", "_n") >= least * F.greatest("_m", "_n") - 1e-6
+
+
+def _behind(least: float) -> Column:
     """Whether sets of _m and _n shingles that share the one at _i and _j of theirs, and none before, can have that similarity."""
-    alike = F.least("_m", "_n") >= least * F.greatest("_m", "_n") - 1e-6
-    return alike & (F.least(F.col("_m") - F.col("_i"), F.col("_n") - F.col("_j")) >= least / (1 + least) * (F.col("_m") + F.col("_n")) - 1e-6)
+    return F.least(F.col("_m") - F.col("_i"), F.col("_n") - F.col("_j")) >= least / (1 + least) * (F.col("_m") + F.col("_n")) - 1e-6
+
+
+def _shorter(n: Column, least: float) -> Column:
+    """The number of shingles behind the prefix of a set of n."""
+    return F.ceil(n * least - 1e-6) - 1
 
 
 def star_pairs(shared: DataFrame, least: float) -> DataFrame:
@@ -285,7 +301,7 @@ def star_pairs(shared: DataFrame, least: float) -> DataFrame:
     mine = shared.select("_token", "_low", "_high", F.col("_node").alias("_x"), F.col("_size").alias("_m"), F.col("_at").alias("_i"))
     for end in ("_low", "_high"):
         hubs = shared.where(F.col("_node") == F.col(end)).select("_token", F.col("_size").alias("_n"), F.col("_at").alias("_j"))
-        met = mine.join(hubs, "_token").where((F.col("_x") != F.col(end)) & _possible(least))
+        met = mine.join(hubs, "_token").where((F.col("_x") != F.col(end)) & _alike(least) & _behind(least))
         out.append(met.select(F.least("_x", end).alias("_a"), F.greatest("_x", end).alias("_b")))
     return out[0].unionByName(out[1]).distinct()
 
@@ -293,14 +309,19 @@ def star_pairs(shared: DataFrame, least: float) -> DataFrame:
 def open_pairs(placed: DataFrame, least: float) -> DataFrame:
     """(_a, _b): all pairs of placed(_token, _node, _size, _at, _component) in different components that can have that similarity.
 
-    None is missed, whatever the order of shingles; pairs that share a shingle of their prefixes but are too
-    unlike in size, or have too few shingles behind it, are left out.
+    None is missed, whatever the order of shingles. Left out are pairs that
+    share a shingle of their prefixes but are too unlike in size, have too few
+    shingles behind it, or share too few of their prefixes: what two sets share
+    up to the end of one's prefix is in both prefixes, and what they share
+    beyond is behind that prefix.
     """
     known = checkpointed(_divided(placed, ["_token"], "_component").drop("_low", "_high"))
     left = known.select("_token", F.col("_node").alias("_x"), F.col("_component").alias("_p"), F.col("_size").alias("_m"), F.col("_at").alias("_i"))
     right = known.select("_token", F.col("_node").alias("_y"), F.col("_component").alias("_q"), F.col("_size").alias("_n"), F.col("_at").alias("_j"))
-    met = left.join(right, "_token").where((F.col("_x") < F.col("_y")) & (F.col("_p") != F.col("_q")) & _possible(least))
-    return met.select(F.col("_x").alias("_a"), F.col("_y").alias("_b")).distinct()
+    met = left.join(right, "_token").where((F.col("_x") < F.col("_y")) & (F.col("_p") != F.col("_q")) & _alike(least))
+    each = met.groupBy(F.col("_x").alias("_a"), F.col("_y").alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.max(_behind(least)).alias("_can"), F.max("_m").alias("_m"), F.max("_n").alias("_n"))
+    most = F.col("_c") + F.greatest(_shorter(F.col("_m"), least), _shorter(F.col("_n"), least))
+    return each.where(F.col("_can") & (most >= least / (1 + least) * (F.col("_m") + F.col("_n")) - 1e-6)).select("_a", "_b")
 
 
 def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -347,12 +368,13 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs)
-        wanted = pairs.select(F.col("_a").alias("_id")).unionByName(pairs.select(F.col("_b").alias("_id"))).distinct()
+        # Few ids are broadcast, and no other texts move; beyond that number they meet by a shuffle.
+        wanted = small(pairs.select(F.col("_a").alias("_id")).unionByName(pairs.select(F.col("_b").alias("_id"))).distinct())
         texts = named.join(wanted, "_id", "left_semi").groupBy("_id").agg(F.first("_text").alias("_text"))
         paired = pairs.join(texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_left")), "_a").join(texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_right")), "_b")
         return checkpointed(_similar(paired, width, similarity))
 
-    gridded = near_links(some.select("_node", F.lit(0).alias("_block"), F.col("_fp").alias("_value")), 64, segments, MAX_BITS)[0]
+    gridded = near_stars(some.select("_node", F.lit(0).alias("_block"), F.col("_fp").alias("_value")), 64, segments, MAX_BITS)[0]
     tokens = some.select("_node", "_size", F.posexplode("_prefix").alias("_at", "_token"))
     shared = checkpointed(_divided(tokens, ["_token"], "_node"))
     near = verified(gridded.unionByName(star_pairs(shared, similarity)).distinct())
