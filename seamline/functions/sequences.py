@@ -207,9 +207,9 @@ def _log_sigmoid(z: Column) -> Column:
 def viterbi(logp: Column, pair: Column, bias: Column | float = 0.0) -> Column:
     """The best 0/1 sequence for scores array<struct<h, m>> and logits of change between neighbours.
 
-    pair[i] stands between sentences i and i + 1. Ties go to 0. The back
-    pointers are packed into a string of digits, so a step copies no array of
-    structs: '0' to '3' say which label came before a 0 and before a 1.
+    pair[i] stands between sentences i and i + 1. Ties go to 0. A back pointer
+    is 0 to 3: which label came before a 0 and before a 1. Every step appends
+    one to an array, which suits documents of up to some thousand sentences.
     """
     b = bias if isinstance(bias, Column) else F.lit(float(bias))
 

@@ -103,11 +103,11 @@ def normalize_surface(c: Column) -> Column:
 def surface_features(c: Column) -> dict[str, Column]:
     """Predicates on a sentence's form."""
     return {
-        "invisible": c.rlike(f"[{INVISIBLE}]"),
-        "curly_quote": c.rlike(f"[{CURLY}]"),
+        "zero_width_non_joiner": c.contains("\u200c"),
+        "curly_quote": c.rlike("[\u2018\u2019\u201c\u201d]"),
         "space_before_mark": c.rlike(rf"{SPACE}[.,?!:;]"),
         "no_final_mark": ~rstrip(c).rlike(rf"[{FINAL_MARKS}]\z"),
-        "parenthesis": c.rlike(r"[()]"),
+        "parenthesis": c.contains("("),
         "latin": c.rlike(LATIN),
     }
 

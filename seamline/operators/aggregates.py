@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamline.operators.evaluation import ratio
@@ -70,14 +70,27 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def pass_rates(calls: DataFrame, rejections: DataFrame, key: str = "generator") -> DataFrame:
-    """Calls, rejections, accepted, their rate and cost by generator."""
+def pass_rates(calls: DataFrame, rejections: DataFrame, key: str = "generator", kinds: Sequence[str] | None = None) -> DataFrame:
+    """Calls, rejections, accepted, their rate and cost by generator; with kinds, of these, whether they were called or not."""
     c = calls.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.sum("cost_usd").alias("cost_usd"))
     r = rejections.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
     rejected = F.coalesce("_r", F.lit(0))
+    if kinds is not None:
+        every = rows_of(calls.sparkSession, key, kinds)
+        c = every.join(c, key, "left").select(key, F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("cost_usd", F.lit(0)).alias("cost_usd"))
     return c.join(r, key, "left").select(key, "calls", rejected.alias("rejected"), (F.col("calls") - rejected).alias("accepted"), ratio(F.col("calls") - rejected, F.col("calls")).alias("pass_rate"), "cost_usd")
 
 
+def rows_of(spark: SparkSession, name: str, values: Sequence[str]) -> DataFrame:
+    """A column of given strings."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+
+
+def type_cube(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., n): counts by all of by, by its first few, and in all; null where a column is summed over."""
+    return rows.rollup(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def rejection_matrix(rejections: DataFrame, kinds: Sequence[str], key: str = "generator") -> DataFrame:
     """Errors by kind (what stands before the colon) and generator."""
     kinded = rejections.select(key, F.explode("errors").alias("_e")).select(key, F.substring_index("_e", ":", 1).alias("kind"))
@@ -98,12 +111,12 @@ def round_robin(rows: DataFrame, kind: str, kinds: Sequence[str], order: Sequenc
 
 
 def length_fidelity(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean differences of words and sentences from their targets, retries and the share produced."""
+    """Mean differences of words and sentences from their targets, and retries, over what was produced; how many were."""
     d = F.col("n_words") - F.col("target_words")
     s = F.col("n_sentences") - F.col("target_sentences")
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"), F.count("n_words").alias("produced"), F.avg(d).alias("mean_word_delta"), F.avg(F.abs(d)).alias("mean_abs_word_delta"),
-        F.avg(s).alias("mean_sentence_delta"), F.avg(F.coalesce("retries", F.lit(0))).alias("mean_retries"),
+        F.avg(s).alias("mean_sentence_delta"), F.avg(F.when(F.col("n_words").isNotNull(), F.coalesce("retries", F.lit(0)))).alias("mean_retries"),
     )
 
 

@@ -102,9 +102,11 @@ def twin_metrics(pairs: DataFrame, order: Sequence[str] = ("record_id",), by: Se
     """How predictions change between documents and their twins.
 
     pairs: window_id, labels, pred, proba, twin_pred, twin_proba. Rates over
-    twins count each window once; paired rates count every pair.
+    twins count each window once (the pairs marked by a column _first, if there
+    is one); paired rates count every pair.
     """
-    uniq = unique_windows(pairs, order, by=by).select(*by, F.transform("twin_pred", lambda _: F.lit(0)).alias("labels"), F.col("twin_pred").alias("pred"))
+    once = pairs.where("_first") if "_first" in pairs.columns else unique_windows(pairs, order, by=by)
+    uniq = once.select(*by, F.transform("twin_pred", lambda _: F.lit(0)).alias("labels"), F.col("twin_pred").alias("pred"))
     h = human_metrics(uniq, by)
     z = F.arrays_zip(F.col("labels").alias("y"), F.col("pred").alias("a"), F.col("twin_pred").alias("b"), F.col("proba").alias("p"), F.col("twin_proba").alias("q"))
     count = lambda f: _total(F.size(F.filter(z, f)))
@@ -114,13 +116,16 @@ def twin_metrics(pairs: DataFrame, order: Sequence[str] = ("record_id",), by: Se
         count(lambda x: (x["y"] == 1) & (x["a"] == 1) & (x["b"] == 0)).alias("_flips"),
         count(lambda x: (x["y"] != 1) & (x["a"] == x["b"])).alias("_stable"),
     )
-    combined = boundary_metrics(pairs.select(*by, "labels", "pred").unionByName(uniq), by, 0).select(*by, F.col("f1").alias("combined_boundary_f1"))
+    combined = boundary_metrics(pairs.select(*by, "labels", "pred").unionByName(uniq), by, 0).select(
+        *by, F.col("precision").alias("combined_boundary_precision"), F.col("recall").alias("combined_boundary_recall"), F.col("f1").alias("combined_boundary_f1"), F.col("exact_doc_match").alias("combined_doc_exact"),
+    )
     join = (lambda a, b: a.join(b, list(by))) if by else (lambda a, b: a.crossJoin(b))  # one row each without groups
     rows = join(join(h, paired), combined)
     return rows.select(
         *by, F.col("n_docs").alias("n_twins"), "doc_false_alarm", F.col("boundaries_per_doc").alias("boundaries_per_twin"), "sentence_fpr",
         ratio(F.col("_wins"), F.col("_ai")).alias("paired_win_rate"), ratio(F.col("_flips"), F.col("_ai")).alias("paired_flip_rate"),
-        ratio(F.col("_stable"), F.col("_ctx")).alias("context_stability"), "combined_boundary_f1",
+        ratio(F.col("_stable"), F.col("_ctx")).alias("context_stability"),
+        "combined_boundary_precision", "combined_boundary_recall", "combined_boundary_f1", "combined_doc_exact",
     )
 
 
@@ -132,7 +137,8 @@ def at_thresholds(docs: DataFrame, scores: dict[str, str], grid: Sequence[float]
 
 
 def threshold_sweep(pairs: DataFrame, grid: Sequence[float] = sq.GRID, order: Sequence[str] = ("record_id",)) -> DataFrame:
-    """Boundary and twin metrics at every threshold, from cached scores."""
+    """Boundary and twin metrics at every threshold, from cached scores. Windows are told apart before pairs are multiplied."""
+    pairs = pairs.withColumn("_first", F.row_number().over(Window.partitionBy("window_id").orderBy(*order)) == 1)
     each = at_thresholds(pairs, {"pred": "proba", "twin_pred": "twin_proba"}, grid)
     mixed = boundary_metrics(each, ["threshold"], 0).select("threshold", F.col("f1").alias("mixed_f1"), F.col("exact_doc_match").alias("mixed_doc_exact"))
     twin = twin_metrics(each, order, ["threshold"]).select("threshold", F.col("doc_false_alarm").alias("false_alarm"), "boundaries_per_twin", "sentence_fpr", "combined_boundary_f1")
@@ -154,6 +160,15 @@ def best_row(rows: DataFrame, value: str, order: str, highest: bool = True, wher
     return _grouped(kept, by).agg(pick.alias("_best")).where(F.col("_best").isNotNull()).select("_best.*")
 
 
+def matched_alarm(sweep: DataFrame, levels: Sequence[float], value: str = "f1", alarm: str = "false_alarm", grid: str = "threshold") -> DataFrame:
+    """(level, grid, value): the best point of a sweep whose alarm is at most each level, the least of equals; null without one."""
+    at = sweep.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level"))
+    # A few levels by a few points.
+    pairs = at.join(F.broadcast(sweep), F.col(alarm) <= F.col("level"), "left")
+    best = pairs.groupBy("level").agg(F.max_by(F.struct(grid, value), F.struct(value, -F.col(grid))).alias("_x"))
+    return best.select("level", F.col(f"_x.{grid}").alias(grid), F.col(f"_x.{value}").alias(value))
+
+
 def operating_point(dev: DataFrame, others: dict[str, DataFrame], value: str, grid: str = "threshold") -> DataFrame:
     """The point of the grid that is best on dev, with every other set's row there as a struct."""
     out = best_row(dev, value, grid).select(grid, F.struct(*dev.columns).alias("dev"))

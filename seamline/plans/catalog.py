@@ -20,6 +20,7 @@ from seamline.operators import evaluation as ev
 from seamline.operators import matching as ma
 from seamline.operators import pages as pg
 from seamline.operators import sampling as sa
+from seamline.sources import jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,6 +268,19 @@ def threshold_sweep(spark, sf_dir):
     return _sweep(spark, sf_dir)
 
 
+@query(f"""WITH {_E}, g AS (SELECT k, round(0.05 + 0.025 * k, 3)::DOUBLE AS t FROM range(37) r(k)),
+x AS (SELECT user_id, i, n, k, t, y, coalesce((s >= t)::INT, 0) AS p, coalesce((s / 2 >= t)::INT, 0) AS q FROM e CROSS JOIN g),
+b AS (SELECT *, (i > 0 AND y <> lag(y) OVER w)::INT AS gb, (i > 0 AND p <> lag(p) OVER w)::INT AS pb, (i > 0 AND q <> lag(q) OVER w)::INT AS qb FROM x WINDOW w AS (PARTITION BY user_id, k ORDER BY i)),
+d AS (SELECT user_id, t, sum(gb) AS g, sum(pb) AS pn, count(*) FILTER (gb = 1 AND pb = 1) AS h, (sum((gb <> pb)::INT) = 0)::INT AS same, max(q) AS a, sum(qb) AS qn, sum(q) AS qs, count(*) AS n,
+  user_id = min(user_id) OVER (PARTITION BY floor(user_id / 2), t) AS one FROM b GROUP BY user_id, t)
+SELECT t AS threshold, round(2.0 * sum(h) / (sum(g) + sum(pn)), 6) AS mixed_f1, round(avg(same), 6) AS mixed_doc_exact, round(avg(a) FILTER (one), 6) AS false_alarm, round(avg(qn) FILTER (one), 6) AS boundaries_per_twin,
+round((sum(qs) FILTER (one))::DOUBLE / sum(n) FILTER (one), 6) AS sentence_fpr, round(2.0 * sum(h) / (sum(g) + sum(pn) + sum(qn) FILTER (one)), 6) AS combined_boundary_f1 FROM d GROUP BY t""")
+def twin_threshold_sweep(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    pairs = s.select("user_id", F.floor(F.col("user_id") / 2).alias("window_id"), "labels", F.col("scores").alias("proba"), F.transform("scores", lambda v: v / 2).alias("twin_proba"))
+    return _rounded(ev.threshold_sweep(pairs, order=["user_id"]))
+
+
 @query(f"{_SWEEP} SELECT * FROM sweep ORDER BY f1 DESC, threshold LIMIT 1")
 def best_threshold(spark, sf_dir):
     return ev.best_row(_sweep(spark, sf_dir), "f1", "threshold")
@@ -275,10 +289,7 @@ def best_threshold(spark, sf_dir):
 @query(f"""{_SWEEP} SELECT level, threshold, f1 FROM (SELECT l.level, s.threshold, s.f1, row_number() OVER (PARTITION BY l.level ORDER BY s.f1 DESC, s.threshold) AS rn
 FROM (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE, 0.7::DOUBLE]) AS level) l LEFT JOIN sweep s ON s.false_alarm <= l.level) WHERE rn = 1""")
 def matched_alarm(spark, sf_dir):
-    levels = spark.range(1).select(F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))).alias("level"))
-    pairs = levels.join(_sweep(spark, sf_dir), F.col("false_alarm") <= F.col("level"), "left")
-    best = pairs.groupBy("level").agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("_x"))
-    return best.select("level", F.col("_x.threshold").alias("threshold"), F.col("_x.f1").alias("f1"))
+    return ev.matched_alarm(_sweep(spark, sf_dir), (0.3, 0.5, 0.7))
 
 
 @query(f"""WITH {_E}, {_B}, tw AS (SELECT *, row_number() OVER (PARTITION BY user_id // 2 ORDER BY user_id) AS dummy FROM (SELECT DISTINCT user_id FROM e)),
@@ -288,9 +299,11 @@ tb AS (SELECT *, (i > 0 AND t <> lag(t) OVER (PARTITION BY user_id ORDER BY i)):
 h AS (SELECT user_id, max(t) AS a, sum(c) AS nb, sum(t) AS nt, count(*) AS n FROM tb WHERE user_id IN (SELECT user_id FROM u) GROUP BY user_id),
 pr AS (SELECT count(*) FILTER (y = 1) AS ai, count(*) FILTER (y = 0) AS ctx, count(*) FILTER (y = 1 AND p = 1 AND t = 0) AS flips, count(*) FILTER (y = 0 AND p = t) AS stable,
   count(*) FILTER (y = 1 AND value / 1000 > (value - 20) / 1000) AS wins FROM b JOIN tp USING (user_id, i)),
-cb AS (SELECT sum(g) AS g, sum(q) AS q, sum(h) AS h FROM (SELECT sum(gb) AS g, sum(pb) AS q, count(*) FILTER (gb = 1 AND pb = 1) AS h FROM b UNION ALL SELECT 0, sum(nb), 0 FROM h))
+cb AS (SELECT sum(g) AS g, sum(q) AS q, sum(h) AS h FROM (SELECT sum(gb) AS g, sum(pb) AS q, count(*) FILTER (gb = 1 AND pb = 1) AS h FROM b UNION ALL SELECT 0, sum(nb), 0 FROM h)),
+ex AS (SELECT avg(same) AS s FROM (SELECT (sum((gb <> pb)::INT) = 0)::INT AS same FROM b GROUP BY user_id UNION ALL SELECT (nb = 0)::INT FROM h))
 SELECT (SELECT count(*) FROM h)::BIGINT AS n_twins, round((SELECT avg(a) FROM h), 6) AS doc_false_alarm, round((SELECT avg(nb) FROM h), 6) AS boundaries_per_twin, round((SELECT sum(nt)::DOUBLE / sum(n) FROM h), 6) AS sentence_fpr,
-round(wins::DOUBLE / ai, 6) AS paired_win_rate, round(flips::DOUBLE / ai, 6) AS paired_flip_rate, round(stable::DOUBLE / ctx, 6) AS context_stability, round((SELECT 2.0 * h / (g + q) FROM cb), 6) AS combined_boundary_f1 FROM pr""")
+round(wins::DOUBLE / ai, 6) AS paired_win_rate, round(flips::DOUBLE / ai, 6) AS paired_flip_rate, round(stable::DOUBLE / ctx, 6) AS context_stability, round((SELECT 2.0 * h / (g + q) FROM cb), 6) AS combined_boundary_f1,
+round((SELECT h::DOUBLE / q FROM cb), 6) AS combined_boundary_precision, round((SELECT h::DOUBLE / g FROM cb), 6) AS combined_boundary_recall, round((SELECT s FROM ex), 6) AS combined_doc_exact FROM pr""")
 def twin_metrics(spark, sf_dir):
     s = sequences(spark, sf_dir)
     pairs = s.select(
@@ -431,8 +444,7 @@ def window_unique(spark, sf_dir):
 @query("SELECT doc_id, source, round(1.0 / count(*) OVER (PARTITION BY source), 9) AS weight FROM documents")
 def share_weight(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    k = d.groupBy("source").agg((F.lit(1.0) / F.count(F.lit(1))).alias("_w"))
-    return d.join(k, "source").select("doc_id", "source", F.round("_w", 9).alias("weight"))
+    return d.select("doc_id", "source", F.round(ma.share_weight(F.col("source")), 9).alias("weight"))
 
 
 _RANKED = "r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS k, count(*) OVER () AS n FROM documents)"
@@ -559,7 +571,7 @@ def cross_tab(spark, sf_dir):
 @query("SELECT lang, quality, count(*)::BIGINT AS n FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, quality)")
 def role_rollup(spark, sf_dir):
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return j.rollup("lang", "quality").agg(F.count(F.lit(1)).alias("n"))
+    return ag.type_cube(j, ["lang", "quality"])
 
 
 @query(f"WITH {_E} SELECT count(DISTINCT user_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_sentences, sum(y)::BIGINT AS n_machine, round(avg(y), 6) AS machine_share FROM e")
@@ -621,11 +633,11 @@ def running_usage(spark, sf_dir):
 
 
 @query("""SELECT lang AS generator, count(*)::BIGINT AS calls, (count(*) FILTER (q = 0))::BIGINT AS rejected, (count(*) - count(*) FILTER (q = 0))::BIGINT AS accepted, round((count(*) - count(*) FILTER (q = 0))::DOUBLE / count(*), 6) AS pass_rate, sum(n_chars)::BIGINT AS cost_usd
-FROM (SELECT d.lang, d.n_chars, l.quality AS q FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY lang""")
+FROM (SELECT d.lang, d.n_chars, l.quality AS q FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY lang UNION ALL SELECT 'xx', 0, 0, 0, 0, 0""")
 def pass_rates(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("generator"), F.col("n_chars").alias("cost_usd"))
     bad = d.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_semi")
-    return _rounded(ag.pass_rates(d, bad))
+    return _rounded(ag.pass_rates(d, bad, kinds=["de", "en", "es", "fr", "xx"]))
 
 
 @query(f"""WITH {_E}, s AS (SELECT least(9, floor(i::DOUBLE / greatest(n - 1, 1) * 10))::INT AS bin, avg(y) AS share FROM e GROUP BY 1) SELECT b.bin::INT AS bin, round(coalesce(share, 0), 6) AS share FROM range(10) b(bin) LEFT JOIN s ON s.bin = b.bin""")
@@ -649,8 +661,7 @@ def top_prefixes(spark, sf_dir):
 @query("SELECT doc_id, field, text FROM (SELECT doc_id, unnest(['text', 'source']) AS field, unnest([text, source]) AS text FROM documents) WHERE coalesce(text, '') <> ''")
 def all_text_unpivot(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    items = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("text", "source")])
-    return d.select("doc_id", F.explode(items).alias("_x")).select("doc_id", "_x.*").where(F.coalesce(F.col("text"), F.lit("")) != "")
+    return jsonl.all_texts(d, ["text", "source"], ["doc_id"])
 
 
 # ----------------------------------------------------- functions in Python

@@ -65,8 +65,8 @@ def first_valid_record(spark, sf_dir):
 @query(r"""WITH s AS (SELECT quality AS label, text AS a, CASE WHEN t = '' OR regexp_matches(t, '[.?!෴…]$') THEN t ELSE t || '.' END AS b FROM (
   SELECT l.quality, d.text, regexp_replace(regexp_replace(translate(d.text, '‘’‚‛“”„‟' || chr(8203) || chr(8204) || chr(8288) || chr(65279) || chr(173), repeat(chr(39), 4) || repeat(chr(34), 4)), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+([.,?!:;])', '\1', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '') AS t FROM documents d JOIN labels l USING (doc_id))),
 f AS (SELECT label, unnest(['parenthesis', 'latin', 'curly_quote', 'space_before_mark']) AS feature,
-  unnest([regexp_matches(a, '[()]'), regexp_matches(a, '[A-Za-z]'), regexp_matches(a, '[‘’‚‛“”„‟]'), regexp_matches(a, '[\s\x{1c}-\x{1f}\x{85}\p{Z}][.,?!:;]')]) AS r,
-  unnest([regexp_matches(b, '[()]'), regexp_matches(b, '[A-Za-z]'), regexp_matches(b, '[‘’‚‛“”„‟]'), regexp_matches(b, '[\s\x{1c}-\x{1f}\x{85}\p{Z}][.,?!:;]')]) AS n FROM s)
+  unnest([contains(a, '('), regexp_matches(a, '[A-Za-z]'), regexp_matches(a, '[‘’“”]'), regexp_matches(a, '[\s\x{1c}-\x{1f}\x{85}\p{Z}][.,?!:;]')]) AS r,
+  unnest([contains(b, '('), regexp_matches(b, '[A-Za-z]'), regexp_matches(b, '[‘’“”]'), regexp_matches(b, '[\s\x{1c}-\x{1f}\x{85}\p{Z}][.,?!:;]')]) AS n FROM s)
 SELECT feature, label, round(avg(r::INT), 6) AS raw, round(avg(n::INT), 6) AS normalized FROM f GROUP BY feature, label""")
 def surface_table(spark, sf_dir):
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -98,10 +98,10 @@ def cost_extrapolation(spark, sf_dir):
     return c.select("generator", "target", F.round("projected_usd", 4).alias("projected_usd"))
 
 
-@query(rf"""WITH w AS (SELECT lang, len({_SQL_WORDS})::INT AS n, 100 AS t FROM documents)
-SELECT lang, count(*)::BIGINT AS total, count(n)::BIGINT AS produced, round(avg(n - t), 6) AS mean_word_delta, round(avg(abs(n - t)), 6) AS mean_abs_word_delta, 0.0::DOUBLE AS mean_sentence_delta, 0.0::DOUBLE AS mean_retries FROM w GROUP BY lang""")
+@query(rf"""WITH w AS (SELECT lang, CASE WHEN n_chars % 5 <> 0 THEN len({_SQL_WORDS})::INT END AS n, 100 AS t, n_chars % 3 AS retries FROM documents)
+SELECT lang, count(*)::BIGINT AS total, count(n)::BIGINT AS produced, round(avg(n - t), 6) AS mean_word_delta, round(avg(abs(n - t)), 6) AS mean_abs_word_delta, CASE WHEN count(n) > 0 THEN 0.0::DOUBLE END AS mean_sentence_delta, round(avg(retries) FILTER (n IS NOT NULL), 6) AS mean_retries FROM w GROUP BY lang""")
 def length_fidelity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", tx.word_count(F.col("text")).alias("n_words"), F.lit(100).alias("target_words"), F.lit(1).alias("n_sentences"), F.lit(1).alias("target_sentences"), F.lit(None).cast("int").alias("retries"))
+    d = table(spark, sf_dir, "documents").select("lang", F.when(F.col("n_chars") % 5 != 0, tx.word_count(F.col("text"))).alias("n_words"), F.lit(100).alias("target_words"), F.lit(1).alias("n_sentences"), F.lit(1).alias("target_sentences"), (F.col("n_chars") % 3).alias("retries"))
     return _rounded(ag.length_fidelity(d, ["lang"]))
 
 

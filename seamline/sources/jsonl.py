@@ -75,10 +75,10 @@ def word_task(lines: DataFrame, schema: str = "text string, label int, model str
     return parsed.select(F.concat(F.lit("test_"), F.col("line").cast("string")).alias("id"), F.col("r.text").alias("text"), F.col("r.label").alias("boundary"), F.get(dm, F.lit(0)).alias("domain"), F.get(dm, F.lit(1)).alias("generator"))
 
 
-def all_texts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(field, text) of every text field that isn't empty."""
+def all_texts(rows: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., field, text) of every text field that isn't empty."""
     items: list[Column] = [F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns]
-    return rows.select(F.explode(F.array(*items)).alias("_x")).select("_x.*").where(F.coalesce(F.col("text"), F.lit("")) != "")
+    return rows.select(*keep, F.explode(F.array(*items)).alias("_x")).select(*keep, "_x.*").where(F.coalesce(F.col("text"), F.lit("")) != "")
 
 
 def review_tree(spark: SparkSession, glob: str, reviews: str = "array<struct<comments:string>>") -> DataFrame:

@@ -336,7 +336,11 @@ def test_statistics(spark):
     t = {(r["feature"], r["label"]): (r["raw"], r["normalized"]) for r in s.collect()}
     assert t["curly_quote", 0] == (1.0, 0.0) and t["space_before_mark", 0] == (1.0, 0.0) and t["curly_quote", 1] == (0.0, 0.0)
     f = ag.length_fidelity(spark.createDataFrame([("g", 10, 12, 2, 2, 1), ("g", None, 5, None, 1, None)], "g string, n_words int, target_words int, n_sentences int, target_sentences int, retries int"), ["g"]).first()
-    assert (f["total"], f["produced"], f["mean_word_delta"], f["mean_retries"]) == (2, 1, -2, 0.5)
+    assert (f["total"], f["produced"], f["mean_word_delta"], f["mean_retries"]) == (2, 1, -2, 1.0)
+    t = {r["feature"]: r["raw"] for r in ag.surface_table(spark.createDataFrame([("a \u200b\u201e) b.", 0)], "s string, y int"), "s", "y").collect()}
+    assert t["zero_width_non_joiner"] == t["curly_quote"] == t["parenthesis"] == 0
+    p = ag.pass_rates(spark.createDataFrame([("a", 2.0), ("a", 1.0)], "generator string, cost_usd double"), spark.createDataFrame([("a",)], "generator string"), kinds=["a", "b"])
+    assert sorted(rows(p, "generator", "calls", "rejected", "pass_rate", "cost_usd")) == [("a", 2, 1, 0.5, 3.0), ("b", 0, 0, 0.0, 0.0)]
     v = ag.violations(spark.createDataFrame([("gamma", "train"), ("gamma", "dev")], "generator string, split string"), spark.createDataFrame([("gamma", ["dev", "test"])], "generator string, splits array<string>"))
     assert rows(v, "generator", "split", "n") == [("gamma", "train", 1)]
     o = ag.decile_histogram(spark.createDataFrame([(0.05,), (1.0,), (0.95,)], "x double"), "x")
