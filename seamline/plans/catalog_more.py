@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seamline.config import Config
 from seamline.functions import sequences as sq
 from seamline.functions import text as tx
 from seamline.functions.draws import shuffle_key, uniform
 from seamline.operators import aggregates as ag
 from seamline.operators import evaluation as ev
 from seamline.operators import matching as ma
+from seamline.operators import pages as pg
 from seamline.operators import sampling as sa
-from seamline.plans.catalog import _B, _E, _SQL_WORDS, _rounded, joined, query, r6, sequences, table
+from seamline.plans.catalog import _B, _E, _SQL_WORDS, _SWEEP, _rounded, _sweep, joined, query, r6, sequences, table
+from seamline.sources import jsonl
 
 
 def _as_windows(spark, sf_dir):
@@ -206,3 +209,93 @@ def draws(spark, sf_dir):
     s = sequences(spark, sf_dir)
     total = F.aggregate(F.transform("labels", lambda _, i: uniform(7, F.col("user_id"), i)), F.lit(0.0), lambda a, x: a + x)
     return s.select("user_id", r6(total).alias("total"), shuffle_key(7, F.col("user_id")).alias("shuffle_key"))
+
+
+# ------------------------------------------------------------ joins, filters and choices
+
+
+@query(f"WITH {_E} SELECT user_id, max(n)::INT AS n_labels FROM e WHERE user_id % 4 <> 0 GROUP BY user_id")
+def length_guarded(spark, sf_dir):
+    s = sequences(spark, sf_dir)
+    said = F.transform("labels", lambda _, i: i.cast("string"))
+    records = s.select("user_id", F.when(F.col("user_id") % 4 == 0, F.concat(said, F.array(F.lit("x")))).otherwise(said).alias("sentences"), "labels")
+    good, _ = ma.length_guard(records)
+    return good.select("user_id", F.size("labels").alias("n_labels"))
+
+
+@query("SELECT n.n_nationkey, r.r_regionkey FROM nation n CROSS JOIN region r WHERE n.n_regionkey <> r.r_regionkey")
+def missing_cells(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    done = nations.select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    return ma.missing_cells(nations.select("n_nationkey"), table(spark, sf_dir, "region").select("r_regionkey"), done, ["n_nationkey", "r_regionkey"])
+
+
+@query("""SELECT lang AS generator, source AS split, count(*)::BIGINT AS n FROM documents
+WHERE lang = 'en' AND source NOT IN ('src0', 'src1') OR lang = 'de' AND source <> 'src0' GROUP BY lang, source""")
+def split_violations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("generator"), F.col("source").alias("split"))
+    allowed = spark.createDataFrame([("en", ["src0", "src1"]), ("de", ["src0"])], "generator string, splits array<string>")
+    return ag.violations(d, allowed)
+
+
+@query("""SELECT user_id, count(*)::INT AS n FROM events JOIN (VALUES (0, 'mixed'), (1, 'human'), (2, 'mixed')) AS r(generator, role) ON user_id % 3 = generator
+WHERE role = 'mixed' AND user_id % 2 = 0 GROUP BY user_id""")
+def chosen_documents(spark, sf_dir):
+    s = sequences(spark, sf_dir).select("user_id", F.size("labels").alias("n"), (F.col("user_id") % 3).cast("string").alias("generator"), F.when(F.col("user_id") % 2 == 0, "test").otherwise("train").alias("split"))
+    roles = spark.createDataFrame([("0", "mixed"), ("1", "human"), ("2", "mixed")], "generator string, role string")
+    return ma.filter_documents(s, split="test", roles=["mixed"], role_table=roles).select("user_id", "n")
+
+
+@query(f"""WITH {_E}, w AS (SELECT user_id, max(n) AS n FROM e GROUP BY user_id)
+SELECT {", ".join(f"count(*) FILTER (n >= {c.min_sentences})::BIGINT AS {t}" for t, c in Config().constructions.items())} FROM w""")
+def eligible_rows(spark, sf_dir):
+    return pg.eligibility(sequences(spark, sf_dir).select(F.size("labels").alias("n_sentences")))
+
+
+@query(f"{_SWEEP} SELECT * FROM sweep ORDER BY false_alarm, threshold LIMIT 1")
+def quietest_threshold(spark, sf_dir):
+    return ev.best_row(_sweep(spark, sf_dir), "false_alarm", "threshold", highest=False)
+
+
+@query(f"""{_SWEEP} SELECT threshold, f1 AS dev_f1, round(f1 / 2, 6) AS test_f1 FROM sweep ORDER BY f1 DESC, threshold LIMIT 1""")
+def operating_point(spark, sf_dir):
+    dev = _sweep(spark, sf_dir)
+    test = dev.select("threshold", F.round(F.col("f1") / 2, 6).alias("f1"))
+    return ev.operating_point(dev, {"test": test}, "f1").select("threshold", F.col("dev.f1").alias("dev_f1"), F.col("test.f1").alias("test_f1"))
+
+
+# ------------------------------------------------------------ statistics
+
+
+@query("SELECT lang, count(*)::BIGINT AS n FROM documents GROUP BY lang")
+def category_histogram(spark, sf_dir):
+    return ag.histogram(table(spark, sf_dir, "documents"), "lang")
+
+
+@query("""WITH v AS (SELECT n_chars::DOUBLE / (SELECT max(n_chars) FROM documents) AS x FROM documents), s AS (SELECT round(avg((x < 0.1)::INT), 6) AS share FROM v)
+SELECT share, CASE WHEN share < 0.25 THEN 'ok' ELSE 'skewed' END AS verdict FROM s""")
+def first_decile_verdict(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("n_chars")
+    top = d.agg(F.max("n_chars").alias("_m"))
+    h = ag.decile_histogram(d.crossJoin(F.broadcast(top)).select((F.col("n_chars") / F.col("_m")).alias("x")), "x")
+    return _rounded(ag.first_decile_verdict(h))
+
+
+@query(f"""WITH {_E}, {_B}, r AS (SELECT user_id, i, n, y, sum(gb) OVER (PARTITION BY user_id ORDER BY i) AS run FROM b)
+SELECT round((min(i) + max(i) + 1) / 2.0 / max(n), 6) AS midpoint FROM r WHERE y = 1 GROUP BY user_id, run""")
+def span_midpoints(spark, sf_dir):
+    s = sequences(spark, sf_dir).withColumn("spans", F.filter(sq.runs(F.col("labels")), lambda x: x["label"] == 1))
+    return _rounded(ag.span_midpoints(s))
+
+
+@query("""SELECT doc_id, unnest(['chars', 'lang_code', 'absent']) AS metric, unnest([n_chars::DOUBLE, NULL, NULL]) AS value FROM documents""")
+def nested_metrics(spark, sf_dir):
+    payload = F.to_json(F.struct(F.struct(F.struct(F.col("n_chars").alias("n")).alias("chars"), F.col("lang")).alias("test")))
+    d = table(spark, sf_dir, "documents").select("doc_id", payload.alias("payload"))
+    return ag.metric_values(d, "payload", {"chars": "test.chars.n", "lang_code": "test.code", "absent": "dev.x"}, ["doc_id"])
+
+
+@query("SELECT 'd' || doc_id::VARCHAR AS id, len(string_split(text, ' '))::INT AS boundary FROM documents")
+def human_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return jsonl.human_documents(d, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).select("id", "boundary")
