@@ -66,8 +66,10 @@ class Words(dict):
 
     White space separates tokens whatever stands around it, so a text's ids
     are those of its words in turn. A new word is split as the tokenizer
-    would, and only pieces that are new too go through its merges; words with
-    rarer characters or marks of special tokens go through all of it.
+    would into pieces, which are words too, and only a new word of one piece
+    goes through the merges; words with rarer characters or marks of special
+    tokens go through all of the tokenizer. What was not met since the table
+    was last full is forgotten when it is full again.
     """
 
     def __init__(self, tokenizer: str):
@@ -76,11 +78,11 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
-        self.model = self.tokenizer.model
+        self.merges = self.tokenizer.model.tokenize
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.plain = self._is_plain()
         self.split = regex.compile(_SPLIT).findall
-        self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _is_plain(self) -> bool:
         """Whether the tokenizer is of the form that the short way stands for."""
@@ -95,27 +97,34 @@ class Words(dict):
             and not pre[1]["use_regex"]
         )
 
-    def _merged(self, piece: bytes) -> bytes:
-        written = piece.decode() if piece.isalnum() else piece.decode("latin-1").translate(_BYTES)
-        ids = b"".join([self.packed[t.id] for t in self.model.tokenize(written)])
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
-        self.pieces[piece] = ids
-        return ids
+    def _pieces(self, word: bytes) -> list[bytes] | None:
+        """The word's pieces in lower case; None if it must go through all of the tokenizer."""
+        if word.isalpha():
+            return [word.lower()]
+        if word.isascii():
+            return None if b"<|" in word else _ASCII_SPLIT(word.lower())
+        said = word.decode("utf-8", "replace")
+        if _ODD(said):
+            return None
+        said = said.lower()
+        return [said.encode()] if said.isalpha() else [p.encode() for p in self.split(said)]
+
+    def _encoded(self, word: bytes) -> bytes:
+        parts = self._pieces(word) if self.plain else None
+        if parts is None:
+            return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if parts != [word]:
+            return b"".join([self[p] for p in parts])
+        written = word.decode() if word.isalnum() else word.decode("latin-1").translate(_BYTES)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merges(written)])
 
     def __missing__(self, word: bytes) -> bytes:
-        parts = None
-        if self.plain and word.isascii():
-            if b"<|" not in word:
-                parts = _ASCII_SPLIT(word.lower())
-        elif self.plain and not _ODD(said := word.decode("utf-8", "replace")):
-            parts = [p.encode() for p in self.split(said.lower())]
-        if parts is None:
-            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            known = self.pieces
-            ids = b"".join([known.get(p) or self._merged(p) for p in parts])
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encoded(word)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
