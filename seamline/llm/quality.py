@@ -12,8 +12,10 @@ whatever the lines are like.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ ROUNDS = 160
 PENALTY = 1e-3
 THRESHOLD = 0.3
 FOLDS = 5
+#: Lines whose features are held at once in scoring; a text of more goes through in pieces.
+SCORE_LINES = 20_000
 
 _CLASSES = 9
 #: Bytes by kind: 0 other, 1 upper, 2 lower, 3 digit, 4 space, 5 sentence marks, 6 bars, 7 shouting, 8 not ASCII.
@@ -73,6 +77,28 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, sizes + 1
 
 
+def line_pieces(text: bytes, lines: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """line_features() of a text, so many lines at a time, each piece with the lines about it in view."""
+    start, before = 0, b""
+    while start is not None:
+        end, n = start - 1, 0
+        while n < lines and (end := text.find(b"\n", end + 1)) >= 0:
+            n += 1
+        here = text[start:] if end < 0 else text[start:end]
+        after = -1 if end < 0 else text.find(b"\n", end + 1)
+        seen = here if end < 0 else text[start:] if after < 0 else text[start:after]
+        x, size = line_features(before + b"\n" + seen if start else seen)
+        keep = slice(1 if start else 0, len(size) - (end >= 0))
+        yield x[keep], size[keep]
+        before = here[here.rfind(b"\n") + 1 :]
+        start = None if end < 0 else end + 1
+
+
+def _soft(x: float) -> float:
+    """log(1 + e**x)."""
+    return x + log1p(exp(-x)) if x > 0 else log1p(exp(x))
+
+
 @dataclass
 class Crf:
     """weights of a line's features for good against bad, and scores of label pairs (before, after)."""
@@ -83,6 +109,22 @@ class Crf:
     def marginals(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return self._run(x @ self.weights, counts)[0]
 
+    def chain(self, unary: np.ndarray) -> np.ndarray:
+        """Marginals of good of one document's lines: the messages as single log ratios, for long documents."""
+        (p00, p01), (p10, p11) = self.pairs.tolist()
+        u = array("d", unary.tobytes())
+        odds = array("d", bytes(8 * len(u)))
+        r = odds[0] = u[0]
+        for t in range(1, len(u)):
+            r = odds[t] = u[t] + p01 - p00 + _soft(p11 - p01 + r) - _soft(p10 - p00 + r)
+        s = 0.0
+        for t in range(len(u) - 2, -1, -1):
+            n = s + u[t + 1]
+            s = p10 - p00 + _soft(p11 - p10 + n) - _soft(p01 - p00 + n)
+            odds[t] += s
+        good = np.frombuffer(odds)
+        return 1 / (1 + np.exp(-np.clip(good, -700, 700)))
+
     def _run(self, unary: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of good by line, and expected label pairs in all; documents are runs of `counts` lines."""
         order = np.argsort(-counts, kind="stable")
@@ -132,10 +174,38 @@ class Model:
         at = np.cumsum(counts) - counts
         return np.add.reduceat(good * size, at) / np.add.reduceat(size, at)
 
-    def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        return 1 / (1 + np.exp(-(self.curve[0] * self.quality([line_features(t or b"") for t in texts]) + self.curve[1])))
+    def long_quality(self, text: bytes, lines: int = SCORE_LINES) -> float:
+        """quality() of one text, with the features of so many lines at once and a few numbers for each other line."""
+        unary, sizes = array("d"), array("q")
+        for x, size in line_pieces(text, lines):
+            unary.frombytes((((x - self.mean) / self.scale) @ self.crf.weights).tobytes())
+            sizes.frombytes(size.tobytes())
+        size = np.frombuffer(sizes, np.int64)
+        return float(self.crf.chain(np.frombuffer(unary)) @ size / size.sum())
+
+    def scores(self, texts: list[bytes | None], lines: int = SCORE_LINES) -> np.ndarray:
+        """Of texts of any number and length, with the features of about so many lines held at once."""
+        q = np.zeros(len(texts))
+        held: list[int] = []
+        total = 0
+
+        def settle() -> None:
+            if held:
+                q[held] = self.quality([line_features(texts[k] or b"") for k in held])
+            held.clear()
+
+        for i, t in enumerate(texts):
+            n = (t or b"").count(b"\n") + 1
+            if n > lines:
+                q[i] = self.long_quality(t, lines)
+                continue
+            if total + n > lines:
+                settle()
+                total = 0
+            held.append(i)
+            total += n
+        settle()
+        return 1 / (1 + np.exp(-(self.curve[0] * q + self.curve[1])))
 
 
 def logistic(q: np.ndarray, y: np.ndarray, penalty: float = 1e-4) -> tuple[float, float]:
@@ -220,7 +290,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null texts are empty; an empty text is one empty line and gets the score
     that the model gives one. Equal texts get equal scores but for rounding.
-    Columns of the two names are replaced.
+    Texts of more than SCORE_LINES lines go through in pieces whose messages
+    are carried on: the score is that of the whole text, and memory for each
+    of its lines is a few numbers. Columns of the two names are replaced.
     """
     a = Apart(docs)
     return _scored(a, a.df, model, text)
@@ -231,8 +303,7 @@ def _scored(a: Apart, df: DataFrame, model: Model, text: str, **more: Column) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(len(names)).to_pylist()
-            s = np.round(np.concatenate([model.scores(texts[i : i + 256]) for i in range(0, max(1, len(texts)), 256)]), 9)
+            s = np.round(model.scores(b.column(len(names)).to_pylist()), 9)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*names, "_score"])
 
     src = df.select(*names, F.col(a.at(text)).cast("binary").alias("_bytes"))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +40,30 @@ def test_line_features():
     assert np.allclose(x[0, 2 * quality.OWN : 3 * quality.OWN], x[1, : quality.OWN]) and np.allclose(x[1, quality.OWN : 2 * quality.OWN], x[0, : quality.OWN])
 
 
+def some_model():
+    rng = np.random.default_rng(7)
+    return quality.Model(quality.Crf(rng.normal(size=quality.WIDTH), rng.normal(size=(2, 2))), rng.normal(size=quality.WIDTH), rng.uniform(0.5, 2, quality.WIDTH), (3.0, -1.0))
+
+
+def test_long_texts_score_as_whole_ones():
+    rng, model = random.Random(8), some_model()
+    for _ in range(200):
+        t = "".join(rng.choice("aB1 .|!é\n\n") for _ in range(rng.randint(0, 60))).encode()
+        x, size = quality.line_features(t)
+        for lines in (1, 2, 5):
+            made = list(quality.line_pieces(t, lines))
+            assert np.allclose(np.concatenate([m[0] for m in made]), x) and np.concatenate([m[1] for m in made]).tolist() == size.tolist()
+            assert abs(model.long_quality(t, lines) - model.quality([(x, size)])[0]) < 1e-9
+    texts = [b"a b\n" * n for n in (0, 3, 40, 1, 7, 100, 2)]
+    assert np.allclose(model.scores(texts, 10), model.scores(texts))
+
+
+def test_millions_of_lines():
+    start = time.process_time()
+    s = some_model().scores([b"\n" * 2_000_000, b"one line"])
+    assert ((0 <= s) & (s <= 1)).all() and time.process_time() - start < 60
+
+
 def test_learns(spark):
     rng = random.Random(4)
     rows, labels = [], []
