@@ -36,8 +36,8 @@ STAGE_SIMILARITY = 0.8
 ORDER_DOCUMENTS = 10_000
 ORDER_SHINGLES = 100_000
 
-#: Points whose cells one task makes.
-TASK_POINTS = 50_000
+#: Points whose cells one task makes: some 300,000 rows.
+TASK_POINTS = 10_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
