@@ -299,3 +299,28 @@ def nested_metrics(spark, sf_dir):
 def human_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return jsonl.human_documents(d, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).select("id", "boundary")
+
+
+# ------------------------------------------------------------ one text
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS t, text, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE least(0.99, greatest(0.01, (doc_id % 200) / 100.0)) END::DOUBLE AS threshold FROM documents),
+k AS (SELECT doc_id, threshold, CASE WHEN t = '' THEN 'Empty input.' WHEN length(t) > 20000 THEN 'Text too long (limit 20,000 characters).' END AS error, CASE WHEN t = '' OR length(t) > 20000 THEN [] ELSE string_split(text, chr(10)) END AS l FROM d),
+u AS (SELECT doc_id, threshold, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM k),
+c AS (SELECT *, sum(greatest(length(x), 1) + 1) OVER (PARTITION BY doc_id ORDER BY i) <= 510 AS fits FROM u),
+y AS (SELECT doc_id, i, CASE WHEN fits THEN ((length(x) % 100) / 100.0 >= threshold)::INT END AS y FROM c),
+b AS (SELECT *, y <> lag(y) OVER (PARTITION BY doc_id ORDER BY i) AS changed FROM y),
+g AS (SELECT doc_id, count(*) AS n, count(y) AS m, sum(y) AS a, string_agg((i - 1)::VARCHAR, ',' ORDER BY i) FILTER (changed) AS boundaries FROM b GROUP BY doc_id)
+SELECT doc_id, error, coalesce(n, 0)::INT AS n_sentences, coalesce(m, 0)::INT AS n_scored, coalesce(a, 0)::INT AS n_ai, coalesce(round_even(a::DOUBLE / nullif(m, 0), 4), 0.0)::DOUBLE AS ai_ratio, threshold, coalesce(boundaries, '') AS boundaries
+FROM k LEFT JOIN g USING (doc_id)""")
+def analysed_documents(spark, sf_dir):
+    """Documents with lines as sentences; a line's score is read from its length, and those that fit a window are scored."""
+    from seamline.functions import analysis as an
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n", -1).alias("s"))
+    lengths = F.transform("s", F.length)
+    scored = F.slice(F.transform(lengths, lambda n: (n % 100) / 100.0), F.lit(1), an.fitting(lengths))
+    asked = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 200) / 100.0)
+    a = d.select("doc_id", an.analysis(F.col("text"), F.col("s"), scored, asked, 0.5).alias("_a"))
+    plain = ("error", "n_sentences", "n_scored", "n_ai", "ai_ratio", "threshold")
+    return a.select("doc_id", *[F.col(f"_a.{c}").alias(c) for c in plain], joined(F.col("_a.boundaries")).alias("boundaries"))
