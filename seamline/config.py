@@ -177,3 +177,20 @@ def load(path: str, base: Config | None = None) -> Config:
 
     with open(path, encoding="utf-8") as f:
         return from_mapping(yaml.safe_load(f) or {}, base)
+
+
+def environment(path: str) -> dict[str, str]:
+    """The KEY=VALUE lines of a file, on the driver; what the process's environment has wins, and a missing file has none.
+
+    Blank lines and those that begin with # say nothing. Quotes around a value come off; of a repeated key, the first counts.
+    """
+    import os
+
+    said: dict[str, str] = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            pairs = [x.strip().partition("=") for x in f if not x.lstrip().startswith("#")]
+        for key, equals, value in pairs:
+            if equals:
+                said.setdefault(key.strip(), value.strip().strip('"').strip("'"))
+    return {k: os.environ.get(k, v) for k, v in said.items()}
