@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import Counter, deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import StorageLevel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,17 +102,177 @@ def char_wb_ngrams(text: str, low: int, high: int) -> list[str]:
     return out
 
 
-def ngrams_udf(low: int, high: int):
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: char_wb_ngrams(t or "", low, high))
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most 500 rows and 16 MB in this session."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = (spark.conf.get(key) or "").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+#: Characters whose grams are made at once, and different grams that a task holds before it hands them on.
+GRAMS_AT_ONCE, KNOWN_GRAMS = 1 << 18, 300_000
+
+
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], *[np.add.reduceat(c[order], first) if len(keys) else c for c in counts]
+
+
+class GramKeys:
+    """Grams as numbers: 16 bits a character, for grams of at most four.
+
+    Characters beyond 16 bits take the numbers of surrogates, which no text
+    has, as they come. What doesn't fit is left to `char_wb_ngrams`.
+    """
+
+    def __init__(self, low: int, high: int) -> None:
+        self.low, self.high, self.fits = low, high, low <= 3 and high <= 4
+        self.far: dict[int, int] = {}
+
+    def codes(self, text: str) -> np.ndarray | None:
+        """The numbers of a text's characters, or None if they don't fit."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(c) or c.max() < 0xD800 and c.min() > 0:
+            return c
+        if c.min() == 0 or ((c >= 0xD800) & (c < 0xE000)).any():
+            return None
+        c, beyond = c.copy(), c >= 0x10000
+        for x in np.unique(c[beyond]).tolist():
+            if x not in self.far and len(self.far) == 0x800:
+                return None
+            self.far.setdefault(x, 0xD800 + len(self.far))
+        c[beyond] = [self.far[x] for x in c[beyond].tolist()]
+        return c
+
+    def of(self, grams: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of grams, and which of them fit."""
+        keys = np.zeros(len(grams), np.uint64)
+        if not self.fits or not len(grams):
+            return keys, np.zeros(len(grams), bool)
+        c = np.array(grams, "<U4").view(np.uint32).reshape(-1, 4)
+        fit = np.array(["\0" not in g for g in grams]) & (c.max(1) < 0xD800)
+        for x in c.T.astype(np.uint64):
+            keys = np.where(x > 0, (keys << np.uint64(16)) | x, keys)
+        for i in np.flatnonzero(~fit).tolist():
+            own = self.codes(grams[i])
+            if own is not None:
+                keys[i], fit[i] = sum(int(x) << 16 * k for k, x in enumerate(own[::-1])), True
+        return keys, fit
+
+    def grams(self, keys: np.ndarray) -> list[str]:
+        c = np.stack([(keys >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in (3, 2, 1, 0)], 1).astype(np.uint32)
+        for x, at in self.far.items():
+            c[c == at] = x
+        # Strings of four characters end before the first zero.
+        for _ in range(3):
+            short = c[:, 0] == 0
+            c[short] = np.roll(c[short], -1, 1)
+        return np.ascontiguousarray(c).view("<U4").ravel().tolist()
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Different keys in order and how often each is there; None if they don't fit."""
+        words = (text or "").lower().split()
+        c = self.codes(f" {'  '.join(words)} ") if self.fits else None
+        if c is None:
+            return None
+        found = []
+        for s in range(0, len(c) if words else 0, GRAMS_AT_ONCE):
+            part = c[s : s + GRAMS_AT_ONCE + self.high - 1].astype(np.uint64)
+            # No gram goes from one word's end to the next one's space.
+            apart = (part[:-1] != 32) | (part[1:] != 32)
+            key, inside, out = part, np.ones(len(part), bool), []
+            for n in range(1, self.high + 1):
+                if n > 1:
+                    key, inside = (key[:-1] << np.uint64(16)) | part[n - 1 :], inside[:-1] & apart[n - 2 :]
+                if n >= self.low:
+                    out.append(key[:GRAMS_AT_ONCE][inside[:GRAMS_AT_ONCE]])
+            keys = np.concatenate(out)
+            keys.sort()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            found.append((keys[first], np.diff(np.r_[first, len(keys)])))
+        if len(found) == 1:
+            return found[0]
+        return summed(*[np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.uint64, np.int64), zip(*found, strict=True) if found else ((), ()), strict=True)])
+
+
+def gram_counts(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to partial sums of (_g, _tf, _df): a gram, how often it is there and in how many texts; null counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = lambda: (GramKeys(low, high), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), Counter(), Counter())
+        (g, known, odd_tf, odd_df), texts = fresh(), 0
+
+        def told() -> pa.RecordBatch:
+            columns = [*g.grams(known[0]), *odd_tf, None], [*known[1].tolist(), *odd_tf.values(), 0], [*known[2].tolist(), *map(odd_df.get, odd_tf), texts]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["_g", "_tf", "_df"])
+
+        for b in batches:
+            some, size = [], 0
+            for i, text in enumerate(b.column(0)):
+                t = text.as_py()
+                got = g.count(t)
+                if got is None:
+                    own = Counter(char_wb_ngrams(t or "", low, high))
+                    odd_tf.update(own)
+                    odd_df.update(own.keys())
+                else:
+                    some.append((*got, np.ones(len(got[0]), np.int64)))
+                    size += len(got[0])
+                texts += 1
+                if size > KNOWN_GRAMS or i == b.num_rows - 1:
+                    known = summed(*map(np.concatenate, zip(known, *some, strict=True)))
+                    some, size = [], 0
+                    if len(known[0]) + len(odd_tf) > KNOWN_GRAMS:
+                        yield told()
+                        (g, known, odd_tf, odd_df), texts = fresh(), 0
+        yield told()
 
     return run
 
 
+class GramNumbers:
+    """Counts of a text's grams by their places in a list of grams."""
+
+    def __init__(self, low: int, high: int, grams: Sequence[str]) -> None:
+        self.low, self.high, self.keys = low, high, GramKeys(low, high)
+        keys, fit = self.keys.of(grams)
+        self.places = np.flatnonzero(fit)
+        order = np.argsort(keys[fit])
+        self.places, self.sorted = self.places[order], keys[fit][order]
+        self.all = {g: i for i, g in enumerate(grams)}
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending places of the text's grams, and how often each is there."""
+        got = self.keys.count(text)
+        if got is None:
+            own = sorted((self.all[g], n) for g, n in Counter(char_wb_ngrams(text or "", self.low, self.high)).items() if g in self.all)
+            return np.array([i for i, _ in own], np.int64), np.array([n for _, n in own], np.int64)
+        keys, n = got
+        at = np.searchsorted(self.sorted, keys)
+        here = np.flatnonzero(at < len(self.sorted))
+        here = here[self.sorted[at[here]] == keys[here]]
+        at, n = self.places[at[here]], n[here]
+        order = np.argsort(at)
+        return at[order], n[order]
+
+
+@dataclass
+class Vocabulary:
+    """Grams by number."""
+
+    vocabulary: list[str]
+
+
 @dataclass
 class TfIdf:
-    """Log counts times smoothed inverse document frequency, at unit length; fitted on one column of texts."""
+    """Log counts times smoothed inverse document frequency, at unit length; fitted on one column of texts.
+
+    Of more than max_features grams the most frequent stay; of equally frequent ones the first by code point.
+    """
 
     column: str
     output: str
@@ -118,32 +282,207 @@ class TfIdf:
     max_features: int = 200_000
 
     def fit(self, rows: DataFrame) -> TfIdf:
-        grams = rows.select(ngrams_udf(self.low, self.high)(F.col(self.column)).alias("_grams"))
-        self.vocabulary = CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=self.min_df, vocabSize=self.max_features).fit(grams)
-        n = rows.count()
-        df = (
-            grams.select(F.explode(F.array_distinct("_grams")).alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= self.min_df)
-        )
-        # At most max_features rows: those of the vocabulary.
-        known = rows.sparkSession.createDataFrame([(g, i) for i, g in enumerate(self.vocabulary.vocabulary)], "_g string, _i int")
-        self.idf = [0.0] * len(self.vocabulary.vocabulary)
-        for r in df.join(known, "_g").select("_i", (F.ln((1 + n) / (1 + F.col("_df"))) + 1).alias("_w")).collect():
-            self.idf[r["_i"]] = r["_w"]
+        few_rows_a_batch(rows.sparkSession)
+        parts = rows.select(F.col(self.column).alias("_t")).mapInArrow(gram_counts(self.low, self.high), "_g string, _tf long, _df long")
+        sums = parts.groupBy("_g").agg(F.sum("_tf").alias("_tf"), F.sum("_df").alias("_df")).where(F.col("_g").isNull() | (F.col("_df") >= self.min_df))
+        sums = sums.withColumn("_bin", F.floor(F.log2("_tf") * 16)).persist()
+        try:
+            # At most 1024 bins; null is that of the number of texts.
+            sizes = {r["_bin"]: r for r in sums.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"), F.max("_df").alias("_df")).collect()}
+            n = sizes.pop(None)["_df"] if None in sizes else 0
+            left, least, edge = self.max_features, math.inf, None
+            for k in sorted(sizes, reverse=True):
+                if sizes[k]["_n"] > left:
+                    edge = k
+                    break
+                left, least = left - sizes[k]["_n"], k
+            # At most max_features rows: those of the vocabulary.
+            kept = sums.where(F.col("_bin") >= F.lit(least)).collect() if least < math.inf else []
+            if edge is not None and left:
+                kept += sums.where(F.col("_bin") == edge).orderBy(F.desc("_tf"), "_g").limit(left).collect()
+        finally:
+            sums.unpersist()
+        kept.sort(key=lambda r: (-r["_tf"], r["_g"]))
+        self.vocabulary = Vocabulary([r["_g"] for r in kept])
+        self.idf = [math.log((1 + n) / (1 + r["_df"])) + 1 for r in kept]
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        grams = rows.withColumn("_grams", ngrams_udf(self.low, self.high)(F.col(self.column)))
-        counted = self.vocabulary.transform(grams)
-        size = len(self.idf)
-        weights = rows.sparkSession.sparkContext.broadcast(self.idf)
+        few_rows_a_batch(rows.sparkSession)
+        size, low, high = len(self.idf), self.low, self.high
+        known = rows.sparkSession.sparkContext.broadcast((self.vocabulary.vocabulary, np.array(self.idf)))
+
+        @F.arrow_udf(VectorUDT())
+        def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            grams, idf = known.value
+            c = GramNumbers(low, high, grams)
+            for texts in batches:
+                ids, values, ends = [], [], [0]
+                for text in texts:
+                    at, n = c.count(text.as_py())
+                    x = (1 + np.log(n)) * idf[at]
+                    ids.append(at.astype(np.int32))
+                    values.append(x / (math.sqrt(x @ x) or 1.0))
+                    ends.append(ends[-1] + len(at))
+                m, ends = len(ids), pa.array(ends, pa.int32())
+                flat = lambda parts, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *parts])))
+                yield pa.StructArray.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, size, np.int32)), flat(ids, np.int32), flat(values, np.float64)], ["type", "size", "indices", "values"])
+
+        # With the size in the metadata no row is read to learn it.
+        return rows.withColumn(self.output, weigh(F.col(self.column)).alias(self.output, metadata={"ml_attr": {"num_attrs": size}}))
+
+
+def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (label, weight, vector) to one block of bytes each, as `unpacked` reads them."""
+    for b in batches:
+        v = b.column(2)
+        kinds, at, x = (v.field(i) for i in (0, 2, 3))
+        ends = np.asarray(x.offsets, np.int64)
+        values = np.asarray(x.values, np.float64)[ends[0] : ends[-1]]
+        if pa.compute.all(pa.compute.equal(kinds, 0)).as_py():
+            starts = np.asarray(at.offsets)
+            ids = np.asarray(at.values, np.int32)[starts[0] : starts[-1]]
+        else:
+            ids = np.concatenate([np.arange(n, dtype=np.int32) if k else np.asarray(a.values, np.int32) for k, n, a in zip(kinds.to_pylist(), np.diff(ends), at, strict=True)])
+        y, w = (np.asarray(b.column(i), np.float64) for i in (0, 1))
+        parts = [np.array([len(y), len(values)], np.int64), y, w, ends - ends[0], values, ids]
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(p.tobytes() for p in parts)], pa.binary())], ["_b"])
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, ...]:
+    """Labels, weights, where each row begins and the last ends, values, and their places."""
+    rows, n = np.frombuffer(block, np.int64, 2)
+    out, start = [], 16
+    for kind, size in ((np.float64, rows), (np.float64, rows), (np.int64, rows + 1), (np.float64, n), (np.int32, n)):
+        out.append(np.frombuffer(block, kind, size, start))
+        start += out[-1].nbytes
+    return tuple(out)
+
+
+def row_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each row's values; nothing has sum 0."""
+    out, some = np.zeros(len(ends) - 1), np.diff(ends) > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, ends[:-1][some])
+    return out
 
-        @F.udf(VectorUDT())
-        def weigh(v):
-            got = [(int(i), (1 + math.log(x)) * weights.value[int(i)]) for i, x in zip(v.indices, v.values, strict=True)]
-            norm = math.sqrt(sum(x * x for _, x in got)) or 1.0
-            return SparseVector(size, [i for i, _ in got], [x / norm for _, x in got])
 
-        return counted.withColumn(self.output, weigh("_tf")).drop("_grams", "_tf")
+def logistic_loss(blocks: Iterator[bytes], x: np.ndarray) -> np.ndarray:
+    """The weighted sum of losses at coefficients x, of which the last is the intercept, then its gradient."""
+    out = np.zeros(len(x) + 1)
+    for block in blocks:
+        y, w, ends, values, at = unpacked(block)
+        z = row_sums(values * x[at], ends) + x[-1]
+        out[0] += w @ (np.logaddexp(0, z) - y * z)
+        r = w * (np.exp(-np.logaddexp(0, -z)) - y)
+        out[1:-1] += np.bincount(at, np.repeat(r, np.diff(ends)) * values, len(x) - 1)
+        out[-1] += r.sum()
+    return out
+
+
+@dataclass
+class Summary:
+    totalIterations: int
+    objectiveHistory: list[float]
+
+
+@dataclass
+class LogisticModel:
+    coefficients: np.ndarray
+    intercept: float
+    summary: Summary
+
+    def probability(self, spark: SparkSession, vector: str) -> Column:
+        known = spark.sparkContext.broadcast((self.coefficients, self.intercept))
+
+        @F.arrow_udf("double")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            x, b = known.value
+            for v in batches:
+                one = pa.array(np.zeros(len(v)))
+                for packed in packed_rows(iter([pa.RecordBatch.from_arrays([one, one, v], ["y", "w", "v"])])):
+                    _, _, ends, values, at = unpacked(packed.column(0)[0].as_py())
+                    yield pa.array(np.exp(-np.logaddexp(0, -(row_sums(values * x[at], ends) + b))))
+
+        return run(F.col(vector))
+
+
+#: Steps that the search for the next one is led by, and tasks whose gradients go to the driver at once.
+STEPS, DIRECT = 10, 16
+
+
+@dataclass
+class Logistic:
+    """L-BFGS for the mean of weighted losses plus penalty / 2 times the squared coefficients, the intercept's aside.
+
+    Features keep their scale: in units of their deviations, as Spark's own
+    estimator has them, rare ones get penalties of which it takes hundreds of
+    iterations to get hold. Vectors are packed once and stay with the
+    executors; an iteration sends them coefficients and gets one gradient from
+    a task. It ends where strong convexity says that the objective is within
+    tol of its least value. That leaves the intercept aside, which has no
+    penalty, so min_iter iterations are made first, beyond what the objective's digits show.
+    """
+
+    penalty: float
+    max_iter: int = 200
+    min_iter: int = 25
+    tol: float = 1e-6
+
+    def fit(self, rows: DataFrame, size: int, n: int) -> LogisticModel:
+        """rows(_y, _w, _v), n in all, with vectors of a size."""
+        sc = rows.sparkSession.sparkContext
+        # Each iteration gets a gradient from every task: a task a core, however many files there are.
+        packed = rows.select("_y", "_w", "_v").coalesce(sc.defaultParallelism).mapInArrow(packed_rows, "_b binary")
+        blocks = packed.rdd.map(lambda r: bytes(r["_b"])).persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = blocks.getNumPartitions()
+
+        def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+            known = sc.broadcast(x)
+            each = blocks.mapPartitions(lambda b: [logistic_loss(b, known.value)])
+            total = np.sum(each.collect(), axis=0) if tasks <= DIRECT else each.treeReduce(lambda p, q: p + q)
+            known.destroy()
+            inner = np.r_[x[:-1], 0.0] * self.penalty
+            return total[0] / n + inner @ x / 2, total[1:] / n + inner
+
+        try:
+            return self._least(at, size)
+        finally:
+            blocks.unpersist()
+
+    def _least(self, at: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int) -> LogisticModel:
+        x = np.zeros(size + 1)
+        f, g = at(x)
+        seen, past = [f], deque(maxlen=STEPS)
+        while len(seen) <= self.max_iter and g.any() and (len(seen) <= self.min_iter or g @ g > 2 * self.penalty * self.tol * f):
+            d, held = -g, []
+            for s, y, c in reversed(past):
+                held.append(d @ s / c)
+                d = d - held[-1] * y
+            if past:
+                d = d * (past[-1][2] / (past[-1][1] @ past[-1][1]))
+            for (s, y, c), k in zip(past, reversed(held), strict=True):
+                d = d + (k - d @ y / c) * s
+            step, low, high, slope = 1.0 if past else 1 / max(1.0, math.sqrt(g @ g)), 0.0, math.inf, g @ d
+            for _ in range(30):
+                near = x + step * d
+                fn, gn = at(near)
+                # Where f has no digits left for its descent, the slope tells.
+                if fn > f + 1e-4 * step * slope and (fn > f + 1e-12 * abs(f) or gn @ d > -0.9998 * slope):
+                    high = step
+                elif gn @ d < 0.9 * slope:
+                    low = step
+                else:
+                    break
+                step = 2 * low if high == math.inf else (low + high) / 2
+            else:
+                break
+            s, y = near - x, gn - g
+            if s @ y > 0:
+                past.append((s, y, s @ y))
+            x, f, g = near, fn, gn
+            seen.append(f)
+        return LogisticModel(x[:-1], float(x[-1]), Summary(len(seen) - 1, seen))
 
 
 @dataclass
@@ -151,7 +490,7 @@ class LinearDetector:
     """Logistic regression over sentences: character n-grams, those of the neighbours, features and place.
 
     The strength C is that of a penalty of a half on squared weights against
-    the weighted sum of losses; Spark's is of their mean, hence regParam.
+    the weighted sum of losses; that of `Logistic` is of their mean, hence 1 / (C n).
     """
 
     key: str = "record_id"
@@ -185,6 +524,8 @@ class LinearDetector:
             cols.append("_fv")
         if self.position:
             cols.append("_p")
+        if cols == ["_sv"]:
+            return rows.withColumnRenamed("_sv", "_v")
         return VectorAssembler(inputCols=cols, outputCol="_v").transform(rows)
 
     def fit(self, docs: DataFrame) -> LinearDetector:
@@ -202,12 +543,12 @@ class LinearDetector:
         n, ones = rows.agg(F.count(F.lit(1)), F.sum("_y")).first()
         zeros = n - ones
         weighted = self._matrix(rows).withColumn("_w", F.when(F.col("_y") == 1, n / (2 * max(ones, 1))).otherwise(n / (2 * max(zeros, 1))))
-        self.model = LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="_w", regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=self.max_iter, tol=1e-6).fit(weighted)
+        size = sum(len(t.idf) for t in self.blocks) + self.features + self.position
+        self.model = Logistic(1 / (self.c * n), self.max_iter).fit(weighted, size, n)
         return self
 
     def predict(self, docs: DataFrame) -> DataFrame:
-        scored = self.model.transform(self._matrix(self._rows(docs)))
-        p = scored.select(self.key, "_i", F.get(vector_to_array("probability"), F.lit(1)).alias("_q"))
+        p = self._matrix(self._rows(docs)).select(self.key, "_i", self.model.probability(docs.sparkSession, "_v").alias("_q"))
         grouped = p.groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_z"))
         proba = grouped.select(self.key, F.transform("_z", lambda x: x["_q"]).alias("proba"))
         return docs.join(proba, self.key, "left").withColumn("pred", F.transform("proba", lambda x: (x >= 0.5).cast("int")))

@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,51 @@ def test_tfidf(spark):
     assert v[at] == pytest.approx(1 / math.sqrt(3))
 
 
+def test_grams_as_numbers_are_those_of_the_plain_loop(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["a\0b ab", "😀b 😀😀cd é", "", " \n", None, "x", "ab" * 20 + "  c"] + ["".join(rng.choice("ab cé😀\0İß ") for _ in range(rng.randrange(40))) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["t"]) for t in (texts, [])]
+    monkeypatch.setattr(mo, "GRAMS_AT_ONCE", 7)
+    for known in (5, 10_000):
+        monkeypatch.setattr(mo, "KNOWN_GRAMS", known)
+        for low, high in ((2, 4), (1, 2), (4, 5)):
+            own = [Counter(mo.char_wb_ngrams(t or "", low, high)) for t in texts]
+            tf, df = Counter(), Counter()
+            for r in [r for b in mo.gram_counts(low, high)(iter(batches)) for r in b.to_pylist()]:
+                tf[r["_g"]] += r["_tf"]
+                df[r["_g"]] += r["_df"]
+            assert df.pop(None) == len(texts) and tf.pop(None) == 0
+            assert tf == sum(own, Counter()) and df == Counter(g for c in own for g in c)
+            some = sorted(tf)[::2]
+            numbers = mo.GramNumbers(low, high, some)
+            for t, c in zip(texts, own, strict=True):
+                at, n = numbers.count(t)
+                assert list(at) == sorted(at) and {some[i]: k for i, k in zip(at, n, strict=True)} == {g: k for g, k in c.items() if g in set(some)}
+
+
+def test_vocabulary_takes_frequent_grams_then_the_first(spark):
+    rows = spark.createDataFrame([("ab ab cd",), ("ab cd ef",), ("ef gh",), ("gh",)], "t string")
+    assert mo.TfIdf("t", "v", 2, 2, 1, 4).fit(rows).vocabulary.vocabulary == [" a", "ab", "b ", " c"]
+    assert mo.TfIdf("t", "v", 2, 2, 1, 3).fit(rows).vocabulary.vocabulary == [" a", "ab", "b "]
+    assert mo.TfIdf("t", "v", 2, 2, 3, 9).fit(rows.where("false")).vocabulary.vocabulary == []
+
+
+def test_linear_model_is_least_after_few_iterations(spark, sf):
+    """Spark's estimator takes 140 iterations to an objective of 0.485126."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("doc_id % 5 <> 0")
+    m = mo.LinearDetector(max_iter=2000).fit(d.select(F.col("doc_id").alias("record_id"), F.array("text").alias("sentences"), F.array("quality").alias("labels")))
+    assert m.model.summary.totalIterations <= 40 and m.model.summary.objectiveHistory[-1] <= 0.48512
+    rows = m._matrix(m._rows(d.select(F.col("doc_id").alias("record_id"), F.array("text").alias("sentences"), F.array("quality").alias("labels")))).select("_v", "_y").collect()
+    x, y = np.array([r["_v"].toArray() for r in rows]), np.array([r["_y"] for r in rows])
+    w = len(y) / 2 / np.where(y == 1, y.sum(), len(y) - y.sum())
+    beta, share = m.model.coefficients, 1 / (1 + np.exp(-(x @ m.model.coefficients + m.model.intercept)))
+    assert np.abs(x.T @ (w * (share - y)) + beta).max() < 1e-4 and abs((w * (share - y)).sum()) < 1e-4
+
+
 def test_linear_detector(spark):
     d = toy(spark)
     for options in ({}, {"context": 1, "position": True}, {"text": False, "features": 2}):
