@@ -11,8 +11,7 @@ from typing import Any, Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
@@ -260,6 +259,23 @@ class GramNumbers:
         return at[order], n[order]
 
 
+def weighed(low: int, high: int, grams: Sequence[str], idf: np.ndarray) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What maps texts to sparse rows: where each begins and the last ends, values, and their places."""
+    c = GramNumbers(low, high, grams)
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        places, values, ends = [np.zeros(0, np.int32)], [np.zeros(0)], [0]
+        for text in texts:
+            at, n = c.count(text.as_py())
+            x = (1 + np.log(n)) * idf[at]
+            places.append(at.astype(np.int32))
+            values.append(x / (math.sqrt(x @ x) or 1.0))
+            ends.append(ends[-1] + len(at))
+        return np.array(ends, np.int64), np.concatenate(values), np.concatenate(places)
+
+    return run
+
+
 @dataclass
 class Vocabulary:
     """Grams by number."""
@@ -307,46 +323,46 @@ class TfIdf:
         self.idf = [math.log((1 + n) / (1 + r["_df"])) + 1 for r in kept]
         return self
 
+    def rule(self, spark: SparkSession) -> Broadcast:
+        """What `weighed` takes."""
+        return spark.sparkContext.broadcast((self.low, self.high, self.vocabulary.vocabulary, np.array(self.idf)))
+
     def transform(self, rows: DataFrame) -> DataFrame:
         few_rows_a_batch(rows.sparkSession)
-        size, low, high = len(self.idf), self.low, self.high
-        known = rows.sparkSession.sparkContext.broadcast((self.vocabulary.vocabulary, np.array(self.idf)))
+        size, rule = len(self.idf), self.rule(rows.sparkSession)
 
         @F.arrow_udf(VectorUDT())
         def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            grams, idf = known.value
-            c = GramNumbers(low, high, grams)
+            run = weighed(*rule.value)
             for texts in batches:
-                ids, values, ends = [], [], [0]
-                for text in texts:
-                    at, n = c.count(text.as_py())
-                    x = (1 + np.log(n)) * idf[at]
-                    ids.append(at.astype(np.int32))
-                    values.append(x / (math.sqrt(x @ x) or 1.0))
-                    ends.append(ends[-1] + len(at))
-                m, ends = len(ids), pa.array(ends, pa.int32())
-                flat = lambda parts, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *parts])))
-                yield pa.StructArray.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, size, np.int32)), flat(ids, np.int32), flat(values, np.float64)], ["type", "size", "indices", "values"])
+                ends, values, places = run(texts)
+                m, cuts = len(texts), pa.array(ends.astype(np.int32))
+                yield pa.StructArray.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, size, np.int32)), pa.ListArray.from_arrays(cuts, pa.array(places)), pa.ListArray.from_arrays(cuts, pa.array(values))], ["type", "size", "indices", "values"])
 
         # With the size in the metadata no row is read to learn it.
         return rows.withColumn(self.output, weigh(F.col(self.column)).alias(self.output, metadata={"ml_attr": {"num_attrs": size}}))
 
 
-def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (label, weight, vector) to one block of bytes each, as `unpacked` reads them."""
-    for b in batches:
-        v = b.column(2)
-        kinds, at, x = (v.field(i) for i in (0, 2, 3))
-        ends = np.asarray(x.offsets, np.int64)
-        values = np.asarray(x.values, np.float64)[ends[0] : ends[-1]]
-        if pa.compute.all(pa.compute.equal(kinds, 0)).as_py():
-            starts = np.asarray(at.offsets)
-            ids = np.asarray(at.values, np.int32)[starts[0] : starts[-1]]
-        else:
-            ids = np.concatenate([np.arange(n, dtype=np.int32) if k else np.asarray(a.values, np.int32) for k, n, a in zip(kinds.to_pylist(), np.diff(ends), at, strict=True)])
-        y, w = (np.asarray(b.column(i), np.float64) for i in (0, 1))
-        parts = [np.array([len(y), len(values)], np.int64), y, w, ends - ends[0], values, ids]
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(p.tobytes() for p in parts)], pa.binary())], ["_b"])
+def sparse_rows(v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, some of which may be dense, as `weighed` has rows."""
+    kinds, at, x = (v.field(i) for i in (0, 2, 3))
+    ends = np.asarray(x.offsets, np.int64)
+    parts = [np.arange(n, dtype=np.int32) if k else np.asarray(a.values, np.int32) for k, n, a in zip(kinds.to_pylist(), np.diff(ends), at, strict=True)]
+    return ends - ends[0], np.asarray(x.values, np.float64)[ends[0] : ends[-1]], np.concatenate([np.zeros(0, np.int32), *parts])
+
+
+def packed(rule: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (label, weight, vector; with a rule: text) to one block of bytes each, as `unpacked` reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sparse = weighed(*rule.value) if rule else sparse_rows
+        for b in batches:
+            y, w = (np.asarray(b.column(i), np.float64) for i in (0, 1))
+            ends, values, at = sparse(b.column(2))
+            parts = [np.array([len(y), len(values)], np.int64), y, w, ends, values, at]
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(p.tobytes() for p in parts)], pa.binary())], ["_b"])
+
+    return run
 
 
 def unpacked(block: bytes) -> tuple[np.ndarray, ...]:
@@ -392,19 +408,19 @@ class LogisticModel:
     intercept: float
     summary: Summary
 
-    def probability(self, spark: SparkSession, vector: str) -> Column:
+    def probability(self, column: str, spark: SparkSession, rule: Broadcast | None) -> Column:
+        """Of a column of vectors; with a rule: of texts."""
         known = spark.sparkContext.broadcast((self.coefficients, self.intercept))
 
         @F.arrow_udf("double")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             x, b = known.value
+            sparse = weighed(*rule.value) if rule else sparse_rows
             for v in batches:
-                one = pa.array(np.zeros(len(v)))
-                for packed in packed_rows(iter([pa.RecordBatch.from_arrays([one, one, v], ["y", "w", "v"])])):
-                    _, _, ends, values, at = unpacked(packed.column(0)[0].as_py())
-                    yield pa.array(np.exp(-np.logaddexp(0, -(row_sums(values * x[at], ends) + b))))
+                ends, values, at = sparse(v)
+                yield pa.array(np.exp(-np.logaddexp(0, -(row_sums(values * x[at], ends) + b))))
 
-        return run(F.col(vector))
+        return run(F.col(column))
 
 
 #: Steps that the search for the next one is led by, and tasks whose gradients go to the driver at once.
@@ -429,18 +445,25 @@ class Logistic:
     min_iter: int = 25
     tol: float = 1e-6
 
-    def fit(self, rows: DataFrame, size: int, n: int) -> LogisticModel:
-        """rows(_y, _w, _v), n in all, with vectors of a size."""
+    def fit(self, rows: DataFrame, size: int, n: int, rule: Broadcast | None = None) -> LogisticModel:
+        """Rows of a label, a weight and a vector of a size (with a rule: a text), n in all."""
         sc = rows.sparkSession.sparkContext
         # Each iteration gets a gradient from every task: a task a core, however many files there are.
-        packed = rows.select("_y", "_w", "_v").coalesce(sc.defaultParallelism).mapInArrow(packed_rows, "_b binary")
-        blocks = packed.rdd.map(lambda r: bytes(r["_b"])).persist(StorageLevel.MEMORY_AND_DISK)
-        tasks = blocks.getNumPartitions()
+        blocks = rows.coalesce(sc.defaultParallelism).mapInArrow(packed(rule), "_b binary").persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = sc.defaultParallelism
 
         def at(x: np.ndarray) -> tuple[float, np.ndarray]:
             known = sc.broadcast(x)
-            each = blocks.mapPartitions(lambda b: [logistic_loss(b, known.value)])
-            total = np.sum(each.collect(), axis=0) if tasks <= DIRECT else each.treeReduce(lambda p, q: p + q)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                got = logistic_loss((v.as_buffer() for b in batches for v in b.column(0)), known.value)
+                yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], ["_g"])
+
+            each = blocks.mapInArrow(run, "_g binary")
+            if tasks <= DIRECT:
+                total = sum(np.frombuffer(r["_g"]) for r in each.collect())
+            else:
+                total = each.rdd.map(lambda r: np.frombuffer(r["_g"])).treeReduce(lambda p, q: p + q)
             known.destroy()
             inner = np.r_[x[:-1], 0.0] * self.penalty
             return total[0] / n + inner @ x / 2, total[1:] / n + inner
@@ -524,10 +547,15 @@ class LinearDetector:
             cols.append("_fv")
         if self.position:
             cols.append("_p")
-        if cols == ["_sv"]:
-            return rows.withColumnRenamed("_sv", "_v")
         return VectorAssembler(inputCols=cols, outputCol="_v").transform(rows)
 
+    def _inputs(self, rows: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+        """Rows with vectors _v; if they are of a sentence's grams alone, the text and the rule by which its vector is made."""
+        few_rows_a_batch(rows.sparkSession)
+        if self.text and not (self.context or self.features or self.position):
+            return rows.withColumnRenamed("_s", "_v"), self.blocks[0].rule(rows.sparkSession)
+        return self._matrix(rows), None
+
     def fit(self, docs: DataFrame) -> LinearDetector:
         rows = self._rows(docs)
         self.blocks = []
@@ -542,13 +570,15 @@ class LinearDetector:
             self.sd = [float(x) if x is not None and x >= 1e-6 else 1.0 for x in stats[self.features :]]
         n, ones = rows.agg(F.count(F.lit(1)), F.sum("_y")).first()
         zeros = n - ones
-        weighted = self._matrix(rows).withColumn("_w", F.when(F.col("_y") == 1, n / (2 * max(ones, 1))).otherwise(n / (2 * max(zeros, 1))))
+        w = F.when(F.col("_y") == 1, n / (2 * max(ones, 1))).otherwise(n / (2 * max(zeros, 1)))
         size = sum(len(t.idf) for t in self.blocks) + self.features + self.position
-        self.model = Logistic(1 / (self.c * n), self.max_iter).fit(weighted, size, n)
+        rows, rule = self._inputs(rows)
+        self.model = Logistic(1 / (self.c * n), self.max_iter).fit(rows.select("_y", w.alias("_w"), "_v"), size, n, rule)
         return self
 
     def predict(self, docs: DataFrame) -> DataFrame:
-        p = self._matrix(self._rows(docs)).select(self.key, "_i", self.model.probability(docs.sparkSession, "_v").alias("_q"))
+        rows, rule = self._inputs(self._rows(docs))
+        p = rows.select(self.key, "_i", self.model.probability("_v", docs.sparkSession, rule).alias("_q"))
         grouped = p.groupBy(self.key).agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_z"))
         proba = grouped.select(self.key, F.transform("_z", lambda x: x["_q"]).alias("proba"))
         return docs.join(proba, self.key, "left").withColumn("pred", F.transform("proba", lambda x: (x >= 0.5).cast("int")))
